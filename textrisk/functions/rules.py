@@ -121,26 +121,26 @@ def _has_any(text: Column, words: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(word)) for word in words])
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def pattern_hit(text: Column, pattern: str) -> Column:
     """Whether folded text matches. Substring tests spare most text the regular expression."""
     first, last = needed_words(pattern, 0), needed_words(pattern, -1)
     candidate = _has_any(text, first) if first == last else _has_any(text, first) & _has_any(text, last)
     return candidate & text.rlike(jvm_pattern(pattern))
 
 
-def _matches_unnegated(text: Column, pattern: str) -> Column:
+def unnegated_hit(text: Column, pattern: str) -> Column:
     """The first match exists and no negator directly precedes it."""
     body = jvm_pattern(pattern).removeprefix("(?s)")
     before = F.regexp_extract(text, rf"(?s)\A(.*?){body}", 1)
     negated = F.right(before, F.lit(NEGATION_REACH)).rlike(
         rf"(?:{'|'.join(NEGATORS)})[\s\x{{2028}}\x{{2029}}]*\z"
     )
-    return F.when(_matches(text, pattern), ~negated).otherwise(F.lit(False))
+    return F.when(pattern_hit(text, pattern), ~negated).otherwise(F.lit(False))
 
 
 def family_hit(text: Column, family: RuleFamily) -> Column:
     """Whether folded ``text`` matches a family in either language."""
-    test = _matches_unnegated if family.rule_id == NEGATABLE_RULE else _matches
+    test = unnegated_hit if family.rule_id == NEGATABLE_RULE else pattern_hit
     return test(text, family.english) | test(text, family.vietnamese)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -11,16 +11,19 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once per application.
+def ship_package(spark: SparkSession, *siblings: str) -> SparkSession:
+    """Send this package, and sibling packages, to the Python workers, once per application.
 
-    Not needed where the package is installed on every node or passed with ``--py-files``.
+    Not needed where the packages are installed on every node or passed with ``--py-files``.
     """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
-        root = Path(__file__).resolve().parent
-        base = Path(tempfile.mkdtemp(prefix="textrisk-package-")) / "textrisk"
-        archive = shutil.make_archive(str(base), "zip", root.parent, root.name)
-        spark.sparkContext.addPyFile(archive)
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="textrisk-package-")) / "textrisk.zip"
+        with zipfile.ZipFile(archive, "w") as bundle:
+            for package in ("textrisk", *siblings):
+                for source in sorted((root / package).rglob("*.py")):
+                    bundle.write(source, source.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
         _shipped.add(app)
     return spark
