@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textrisk.functions.once import evaluated_once
 from textrisk.operators.checks import require_string_column
 
 
@@ -156,7 +157,11 @@ def with_rule_hits(df: DataFrame, text_col: str, folded: bool = False) -> DataFr
     subject = F.replace(text, F.lit("\u0131"), F.lit("i")) if folded else fold_case(text)
     staged = df.select(*kept, subject.alias("_subject"))
     staged = staged.select(
-        *kept, *[family_hit(F.col("_subject"), f).alias(f"_hit_{f.rule_id}") for f in RULE_FAMILIES]
+        *kept,
+        *[
+            evaluated_once(family_hit(F.col("_subject"), f), False).alias(f"_hit_{f.rule_id}")
+            for f in RULE_FAMILIES
+        ],
     )
 
     def of_hits(value):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textrisk.functions import risk
 from textrisk.functions.normalize import with_normalized
+from textrisk.functions.once import evaluated_once
 from textrisk.functions.risk import RiskConfig
 from textrisk.functions.rules import with_rule_hits
 from textrisk.operators.checks import require_columns, require_string_column
@@ -33,7 +34,7 @@ def score_components(
     out = with_normalized(df, text_col).withColumnRenamed("anomaly_score", "unicode_score")
     out = with_rule_hits(out, "comparison_text", folded=True)
     out = detector.score(out, "normalized_text", "_ml")
-    out = out.withColumn("_ml", F.when(known, F.col("_ml")))
+    out = out.withColumn("_ml", evaluated_once(F.when(known, F.col("_ml")), 0.0))
     blend = risk.blended_risk(F.col("_ml"), F.col("heuristic_score"), F.col("unicode_score"), config)
     out = out.withColumn("_risk", blend)
     out = out.withColumn("decision", risk.decision(F.col("_risk"), config))
