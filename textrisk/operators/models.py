@@ -8,14 +8,16 @@ from typing import Protocol
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from textrisk.functions.risk import over_threshold
-from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK, TfidfBlock
+from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK, TfidfBlock, tfidf_vectors
 from textrisk.operators.split import with_class_weight
+from textrisk.sources.scratch import materialized
 from textrisk.sources.tables import read_document, write_document
 
 # Model names, regularization strengths and the iteration limit.
@@ -76,7 +78,7 @@ class BatchDetector:
     def score(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         predict = predict_batch_udf(
             self.make_predict,
-            return_type="double",
+            return_type=DoubleType(),
             batch_size=self.batch_size,
             input_tensor_shapes=[list(self.input_shape)] if self.input_shape else None,
         )
@@ -89,8 +91,9 @@ def _fit_balanced(
     """Class-balanced L2 logistic regression.
 
     The loss here is a mean over rows and balanced weights sum to the row count, so the
-    penalty is 1 / (C * rows).
+    penalty is 1 / (C * rows). The vectors are written once, as every iteration reads them.
     """
+    features = materialized(features, "features")
     rows = features.count()
     estimator = LogisticRegression(
         featuresCol="features",
@@ -142,27 +145,37 @@ class TfidfDetector:
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The fitted state as tables, for storing and fingerprinting."""
-        out = {
-            block.spec.name: spark.createDataFrame(
-                list(zip(range(len(block.terms)), block.terms, block.idf)),
-                "position int, term string, idf double",
+        out = {}
+        for block in self.blocks:
+            terms = enumerate(zip(block.counter.vocabulary, block.idf))
+            out[block.spec.name] = spark.createDataFrame(
+                [(i, term, idf) for i, (term, idf) in terms], "position int, term string, idf double"
             )
-            for block in self.blocks
-        }
         out["coefficients"] = _coefficient_table(spark, self.classifier)
         return out
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         for block in self.blocks:
-            self.tables(spark)[block.spec.name].write.parquet(f"{path}/{block.spec.name}")
+            block.counter.write().save(f"{path}/{block.spec.name}/counter")
+            weights = spark.createDataFrame(
+                list(enumerate(block.idf)), "position int, idf double"
+            )
+            weights.write.parquet(f"{path}/{block.spec.name}/idf")
         _save_classifier(spark, self, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfDetector:
         meta = _load_meta(spark, path, cls.artifact_type)
         blocks = tuple(
-            TfidfBlock.from_vocabulary(spark.read.parquet(f"{path}/{name}"), spec)
+            TfidfBlock(
+                spec,
+                CountVectorizerModel.load(f"{path}/{name}/counter"),
+                tuple(
+                    row["idf"]
+                    for row in spark.read.parquet(f"{path}/{name}/idf").orderBy("position").collect()
+                ),
+            )
             for name, spec in _BLOCKS.items()
         )
         model = LogisticRegressionModel.load(f"{path}/classifier")
@@ -173,13 +186,7 @@ def feature_union(
     df: DataFrame, blocks: Sequence[TfidfBlock], text_col: str = "text", out_col: str = "features"
 ) -> DataFrame:
     """Add the unit-length blocks side by side, followed by a constant 1."""
-    kept = list(df.columns)
-    names = [f"_{block.spec.name}_vector" for block in blocks]
-    out = df
-    for block, name in zip(blocks, names):
-        out = block.transform(out, text_col, name)
-    joined = VectorAssembler(inputCols=[*names, "_one"], outputCol=out_col)
-    return joined.transform(out.withColumn("_one", F.lit(1.0))).select(*kept, out_col)
+    return tfidf_vectors(df, blocks, text_col, out_col, constant=True)
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,15 @@ from textrisk.functions import labels, normalize, risk, rules
 from textrisk.functions.risk import RiskConfig
 from textrisk.operators import checks, joins, metrics, profile
 from textrisk.operators import split as splits
-from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK, TfidfBlock, term_weights, vocabulary
+from textrisk.operators.features import (
+    CHAR_BLOCK,
+    WORD_BLOCK,
+    TfidfBlock,
+    positions,
+    term_weights,
+    tfidf_vectors,
+    vocabulary,
+)
 from textrisk.operators.fingerprint import fingerprint
 from textrisk.operators.models import (
     BatchDetector,
@@ -442,8 +450,8 @@ def _term_summary(spark, sf_dir, spec):
     documents = read_parquet(spark, f"{sf_dir}/documents.parquet", spread=True)
     vocab = materialized(vocabulary(documents, spec), f"vocabulary-{spec.name}")
     block = TfidfBlock.from_vocabulary(vocab, spec)
-    weights = term_weights(block.transform(documents, "text", "v"), "v")
-    return vocab.join(weights, "position").select(
+    weights = term_weights(tfidf_vectors(documents, [block], out_col="v"), "v")
+    return positions(block.counter, vocab).join(weights, "position").select(
         "term",
         "doc_freq",
         "corpus_freq",
