@@ -20,10 +20,10 @@ from textrisk.operators.split import with_class_weight
 from textrisk.sources.scratch import materialized
 from textrisk.sources.tables import read_document, write_document
 
-# Model names, regularization strengths and the iteration limit.
+# Model names, regularization strengths, iteration limit and tolerance.
 TFIDF_MODEL = "word_char_tfidf_logistic_regression"
 EMBEDDING_MODEL = "frozen_multilingual_embeddings_logistic_regression"
-TFIDF_C, EMBEDDING_C, MAX_ITERATIONS = 2.0, 1.0, 2000
+TFIDF_C, EMBEDDING_C, MAX_ITERATIONS, TOLERANCE = 2.0, 1.0, 2000, 1e-4
 _BLOCKS = {spec.name: spec for spec in (WORD_BLOCK, CHAR_BLOCK)}
 
 
@@ -104,8 +104,10 @@ def _fit_balanced(
         standardization=False,
         fitIntercept=intercept,
         maxIter=MAX_ITERATIONS,
+        tol=TOLERANCE,
     )
-    return estimator.fit(with_class_weight(features, target))
+    # Small training sets are joined into few partitions, else task overhead rules each iteration.
+    return estimator.fit(with_class_weight(features, target).coalesce(1 + rows // 1000))
 
 
 def _positive(model: LogisticRegressionModel, features: DataFrame, out_col: str) -> DataFrame:
