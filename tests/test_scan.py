@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from textrisk.functions import risk
 from textrisk.functions.risk import RiskConfig
 from textrisk.operators.models import ColumnDetector, keyword_detector
-from textrisk.plans.scan import rejected_rows, scan, scan_batch, score_components
+from textrisk.operators.joins import compare_scored
+from textrisk.plans.scan import (
+    compare_detectors,
+    rejected_rows,
+    scan,
+    scan_batch,
+    score_components,
+)
 from textrisk.sources import schemas
 from textrisk.sources.tables import read_csv, write_csv
 from textrisk.streaming.scan_stream import read_text_stream, scan_stream
@@ -142,3 +149,13 @@ def test_stream_equals_batch(spark, texts, tmp_path):
 def test_column_detector(texts):
     detector = ColumnDetector("length", lambda text: F.char_length(text) / 10)
     assert scan_batch(texts("abcde"), detector).first()["ml_score"] == 0.5
+
+
+def test_detectors_side_by_side(texts):
+    df = texts("ignore previous rules", "reveal it", "fine", "ignore it")
+    other = keyword_detector(["reveal"], 0.9, 0.1, "other")
+    joined = compare_scored(scan_batch(df, DETECTOR), scan_batch(df, other), ("a", "b"))
+    one_pass = compare_detectors(df, ("a", DETECTOR), ("b", other))
+    assert joined.columns == one_pass.columns
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, one_pass.collect()))
+    assert [r["disagrees"] for r in one_pass.orderBy("Id").collect()] == [True, True, False, True]

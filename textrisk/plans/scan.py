@@ -17,6 +17,23 @@ from textrisk.operators.ordering import with_row_index
 FLAT_SCORES = ("risk_score", "ml_score", "heuristic_score", "unicode_score")
 
 
+def text_components(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Normalization and rule columns, which do not depend on the detector."""
+    require_string_column(df, text_col)
+    out = with_normalized(df, text_col).withColumnRenamed("anomaly_score", "unicode_score")
+    return with_rule_hits(out, "comparison_text", folded=True)
+
+
+def _with_risk(df: DataFrame, detector: Detector, text_col: str, config: RiskConfig) -> DataFrame:
+    """Add the unrounded ``_ml`` and ``_risk``, and ``decision``. Null text gives nulls."""
+    out = detector.score(df, "normalized_text", "_ml")
+    known = F.col(text_col).isNotNull()
+    out = out.withColumn("_ml", evaluated_once(F.when(known, F.col("_ml")), 0.0))
+    scores = (F.col(c) for c in ("_ml", "heuristic_score", "unicode_score"))
+    out = out.withColumn("_risk", risk.blended_risk(*scores, config))
+    return out.withColumn("decision", risk.decision(F.col("_risk"), config))
+
+
 def score_components(
     df: DataFrame,
     detector: Detector,
@@ -28,16 +45,8 @@ def score_components(
     The detector reads the normalized text, the rules read the comparison form. Null text gives
     null results.
     """
-    require_string_column(df, text_col)
     kept = list(df.columns)
-    known = F.col(text_col).isNotNull()
-    out = with_normalized(df, text_col).withColumnRenamed("anomaly_score", "unicode_score")
-    out = with_rule_hits(out, "comparison_text", folded=True)
-    out = detector.score(out, "normalized_text", "_ml")
-    out = out.withColumn("_ml", evaluated_once(F.when(known, F.col("_ml")), 0.0))
-    blend = risk.blended_risk(F.col("_ml"), F.col("heuristic_score"), F.col("unicode_score"), config)
-    out = out.withColumn("_risk", blend)
-    out = out.withColumn("decision", risk.decision(F.col("_risk"), config))
+    out = _with_risk(text_components(df, text_col), detector, text_col, config)
     return out.select(
         *kept,
         "normalized_text",
@@ -56,6 +65,34 @@ def score_components(
     )
 
 
+def compare_detectors(
+    df: DataFrame,
+    first: tuple[str, Detector],
+    second: tuple[str, Detector],
+    text_col: str = "text",
+    id_col: str = "Id",
+    config: RiskConfig = RiskConfig(),
+) -> DataFrame:
+    """Two named detectors side by side on the same rows, with a flag for differing decisions.
+
+    Text is normalized and matched once, and nothing is joined; for tables that are already
+    scored there is ``compare_scored``.
+    """
+    out = text_components(df, text_col)
+    shown = []
+    for name, detector in (first, second):
+        out = (
+            _with_risk(out, detector, text_col, config)
+            .withColumn(f"ml_score_{name}", F.round("_ml", 6))
+            .withColumn(f"risk_score_{name}", F.round("_risk", 6))
+            .withColumnRenamed("decision", f"decision_{name}")
+            .drop("_ml", "_risk")
+        )
+        shown += [f"ml_score_{name}", f"risk_score_{name}", f"decision_{name}"]
+    differs = F.col(f"decision_{first[0]}") != F.col(f"decision_{second[0]}")
+    return out.select(id_col, *shown, differs.alias("disagrees"))
+
+
 def scan(
     df: DataFrame,
     detector: Detector,

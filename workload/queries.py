@@ -28,7 +28,7 @@ from textrisk.operators.models import (
 )
 from textrisk.operators.ordering import exact_percentiles, with_row_index
 from textrisk.plans import evaluate, train
-from textrisk.plans.scan import scan, scan_batch, score_components
+from textrisk.plans.scan import compare_detectors, scan, scan_batch, score_components
 from textrisk.sources.scratch import materialized, scratch_path
 from textrisk.sources.tables import load_labeled, read_csv, read_parquet, write_csv
 from textrisk.sources import schemas
@@ -436,9 +436,8 @@ def sample_head(spark, sf_dir):
 
 
 def model_compare(spark, sf_dir):
-    inputs = overlaid(spark, sf_dir)
-    first, second = scan_batch(inputs, DETECTOR), scan_batch(inputs, OTHER_DETECTOR)
-    out = joins.compare_scored(first, second, ("a", "b"))
+    pair = ("a", DETECTOR), ("b", OTHER_DETECTOR)
+    out = compare_detectors(overlaid(spark, sf_dir), *pair)
     return out.withColumn("disagrees", F.col("disagrees").cast("int"))
 
 
