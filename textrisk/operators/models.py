@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,38 +147,20 @@ class TfidfDetector:
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The fitted state as tables, for storing and fingerprinting."""
-        out = {}
-        for block in self.blocks:
-            terms = enumerate(zip(block.counter.vocabulary, block.idf))
-            out[block.spec.name] = spark.createDataFrame(
-                [(i, term, idf) for i, (term, idf) in terms], "position int, term string, idf double"
-            )
+        out = {block.spec.name: block.terms for block in self.blocks}
         out["coefficients"] = _coefficient_table(spark, self.classifier)
         return out
 
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
         for block in self.blocks:
-            block.counter.write().save(f"{path}/{block.spec.name}/counter")
-            weights = spark.createDataFrame(
-                list(enumerate(block.idf)), "position int, idf double"
-            )
-            weights.write.parquet(f"{path}/{block.spec.name}/idf")
-        _save_classifier(spark, self, path)
+            block.save(f"{path}/{block.spec.name}")
+        _save_classifier(SparkSession.active(), self, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfDetector:
         meta = _load_meta(spark, path, cls.artifact_type)
         blocks = tuple(
-            TfidfBlock(
-                spec,
-                CountVectorizerModel.load(f"{path}/{name}/counter"),
-                tuple(
-                    row["idf"]
-                    for row in spark.read.parquet(f"{path}/{name}/idf").orderBy("position").collect()
-                ),
-            )
-            for name, spec in _BLOCKS.items()
+            TfidfBlock.load(spark, f"{path}/{name}", spec) for name, spec in _BLOCKS.items()
         )
         model = LogisticRegressionModel.load(f"{path}/classifier")
         return cls(blocks, model, meta["threshold"], meta["model_name"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textrisk.sources.scratch import materialized
 
 _BEFORE = (W.unboundedPreceding, -1)
-# Rank error of the approximate percentiles that bracket an exact one.
+_SLICES = 256
 _ACCURACY = 10_000
 
 
@@ -43,67 +43,54 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
     )
 
 
+def with_slice(stored: DataFrame, value_col: str, name: str = "_slice") -> DataFrame:
+    """Add the number of the value's slice: slices follow the value order and hold about equally
+    many rows each.
+
+    ``stored`` is read twice, so it should be a written table, and its values should be distinct,
+    so that no value can overfill a slice. Only the slice bounds come to the driver.
+    """
+    marks = [i / _SLICES for i in range(1, _SLICES)]
+    found = stored.agg(F.percentile_approx(value_col, F.lit(marks), _ACCURACY)).first()[0]
+    bounds = F.array(*[F.lit(float(b)) for b in found or []]).cast("array<double>")
+    return stored.withColumn(name, F.size(F.filter(bounds, lambda b: b < F.col(value_col))))
+
+
 def exact_percentiles(
     df: DataFrame, value_col: str, fractions: Sequence[float], approximate: bool = False
 ) -> DataFrame:
     """One row: row count, mean and linearly interpolated percentiles of a numeric column.
 
-    Approximate percentiles just below and above each fraction bracket the exact one. Values
-    between brackets collapse to one counted row each, so only the bracketed values are sorted.
+    Rows collapse to one counted row per distinct value. Counts per slice of values tell where
+    each slice starts; values are ordered only inside their slice.
     """
     value = F.col(value_col).cast("double")
     values = df.select(value.alias("_v")).filter(F.col("_v").isNotNull())
     names = [f"p{round(q * 100, 4):g}".replace(".", "_") for q in fractions]
-    summary = [F.count("*").alias("n"), F.avg("_v").alias("mean")]
     if approximate:
         points = [F.percentile_approx("_v", q, _ACCURACY).alias(n) for q, n in zip(fractions, names)]
-        return values.agg(*summary, *points)
-
-    slack = 2.0 / _ACCURACY
-    marks = sorted({min(1.0, max(0.0, q + d)) for q in fractions for d in (-slack, slack)})
-    brackets = [(max(0.0, q - slack), min(1.0, q + slack)) for q in fractions]
-    edges = values.agg(
-        F.percentile_approx("_v", F.lit(marks), _ACCURACY).alias("e"),
-        F.min("_v").alias("low"),
-        F.max("_v").alias("high"),
-        F.count("*").cast("double").alias("n"),
-    )
-    edges = edges.select(F.concat(F.array("low"), "e", F.array("high", "n")).alias("e")).scalar()
-    counted = values.withColumn("_e", edges)
-
-    def at(mark: float) -> Column:
-        # The outermost marks are the true extremes.
-        position = {0.0: 0, 1.0: len(marks) + 1}.get(mark, marks.index(mark) + 1)
-        return F.col("_e")[position]
-
-    # Brackets are wider than the rank error only where rows outnumber it; few rows are all kept.
-    inside = F.col("_e")[len(marks) + 2] <= 10 * _ACCURACY
-    for low, high in brackets:
-        inside = inside | F.col("_v").between(at(low), at(high))
-    segment = F.lit(0)
-    for _, high in brackets:
-        segment = segment + (F.col("_v") > at(high)).cast("int")
-    kept = (
-        counted.select(
-            F.col("_v"), inside.alias("_inside"), F.when(~inside, segment).alias("_segment")
-        )
-        .groupBy(
-            F.when(F.col("_inside"), F.col("_v")).alias("_exact"), "_segment"
-        )
-        .agg(F.count("*").alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_low"))
+        return values.agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), *points)
+
+    counted = materialized(values.groupBy("_v").agg(F.count("*").alias("_n")), "value-counts")
+    sliced = with_slice(counted, "_v")
+    sizes = sliced.groupBy("_slice").agg(F.sum("_n").alias("_size"))
+    starts = sizes.select(
+        "_slice",
+        F.coalesce(F.sum("_size").over(W.orderBy("_slice").rowsBetween(*_BEFORE)), F.lit(0)).alias(
+            "_start"
+        ),
+        F.sum("_size").over(W.partitionBy()).alias("_total"),
     )
-    order = W.orderBy("_low")
-    ranked = kept.select(
-        "_low",
-        "_n",
-        "_sum",
-        F.coalesce(F.sum("_n").over(order.rowsBetween(*_BEFORE)), F.lit(0)).alias("_from"),
-        F.sum("_n").over(W.partitionBy()).alias("_total"),
+    inside = W.partitionBy("_slice").orderBy("_v").rowsBetween(*_BEFORE)
+    ranked = sliced.withColumn("_lower", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    # One row per slice, so at most the fixed number of slices.
+    placed = ranked.join(F.broadcast(starts), "_slice").withColumn(
+        "_from", F.col("_start") + F.col("_lower")
     )
 
     def at_rank(rank: Column) -> Column:
         holds = (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_n"))
-        return F.max(F.when(holds, F.col("_low")))
+        return F.max(F.when(holds, F.col("_v")))
 
     points = []
     for q, name in zip(fractions, names):
@@ -111,6 +98,5 @@ def exact_percentiles(
         low, high = at_rank(F.floor(rank)), at_rank(F.ceil(rank))
         share = F.max(rank - F.floor(rank))
         points.append((low + (high - low) * share).alias(name))
-    return ranked.agg(
-        F.sum("_n").alias("n"), (F.sum("_sum") / F.sum("_n")).alias("mean"), *points
-    )
+    mean = F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")
+    return placed.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), mean.alias("mean"), *points)
