@@ -11,6 +11,7 @@ from textrisk.operators import checks, joins, metrics, profile
 from textrisk.operators import split as splits
 from textrisk.operators.fingerprint import fingerprint_value
 from textrisk.operators.ordering import exact_percentiles, with_row_index
+from textrisk.plans.profile_dataset import profile_dataset
 from textrisk.sources.tables import (
     load_labeled,
     missing_files,
@@ -241,3 +242,28 @@ def test_reports_and_folders(spark, tmp_path):
     (tmp_path / "data" / "test.csv").write_text("Id,text\n")
     found = [r["name"] for r in missing_files(spark, str(tmp_path / "data")).collect()]
     assert found == ["sample_submission.csv"]
+
+
+def test_dataset_profile(spark, tmp_path):
+    folder = tmp_path / "set"
+    (folder / "in").mkdir(parents=True)
+    (folder / "in" / "train.csv").write_text('Id,text,label\n1,"a\nb",benign\n2,x,1\n3,x,0\n')
+    (folder / "test.csv").write_text("Id,text\n7,q\n")
+    with pytest.raises(FileNotFoundError, match="sample_submission"):
+        profile_dataset(spark, str(folder))
+    (folder / "sample_submission.csv").write_text("Id,TARGET\n7,0\n")
+    found = profile_dataset(spark, str(folder))
+    assert found.summary.first().asDict() == {
+        "train_rows": 3, "benign_rows": 2, "jailbreak_rows": 1,
+        "test_rows_unlabeled": 1, "duplicate_texts": 1,
+    }
+    assert {r["value"]: r["rows"] for r in found.targets.collect()} == {"0": 2, "1": 1}
+    (folder / "sample_submission.csv").write_text("Id,other\n7,0\n")
+    with pytest.raises(Exception, match="header"):
+        profile_dataset(spark, str(folder))
+
+
+def test_split_refuses_other_classes(spark):
+    df = spark.createDataFrame([("1", 0), ("2", 2)], "Id string, target int")
+    with pytest.raises(Exception, match="0 or 1"):
+        splits.with_partition(df).collect()

@@ -33,17 +33,20 @@ def read_csv(
     schema: T.StructType,
     multiline: bool = True,
     enforce_header: bool = True,
+    named: str | None = None,
 ) -> DataFrame:
     """Quoted CSV with header; a byte order mark, doubled quotes and line breaks are handled.
 
     A multi-line file cannot be split, so large inputs should come as many files. Pass
-    ``multiline=False`` where no field holds a line break and files are split as usual.
+    ``multiline=False`` where no field holds a line break and files are split as usual. ``named``
+    reads the files of that name at any depth below ``path``.
     """
-    return (
-        spark.read.schema(schema)
-        .options(**_QUOTING, **_VERBATIM, multiLine=multiline, enforceSchema=not enforce_header)
-        .csv(path)
+    reader = spark.read.schema(schema).options(
+        **_QUOTING, **_VERBATIM, multiLine=multiline, enforceSchema=not enforce_header
     )
+    if named:
+        reader = reader.options(pathGlobFilter=named, recursiveFileLookup=True)
+    return reader.csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
