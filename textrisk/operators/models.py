@@ -107,7 +107,7 @@ def _fit_balanced(
         tol=TOLERANCE,
     )
     # Small training sets are joined into few partitions, else task overhead rules each iteration.
-    return estimator.fit(with_class_weight(features, target).coalesce(1 + rows // 1000))
+    return estimator.fit(with_class_weight(features, target).coalesce(1 + rows // 4000))
 
 
 def _positive(model: LogisticRegressionModel, features: DataFrame, out_col: str) -> DataFrame:
