@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textrisk.functions.labels import CATEGORY_COLUMNS, first_present, with_truth
+from textrisk.functions.once import evaluated_once
 from textrisk.functions.risk import RiskConfig, ablated_risk, is_positive, over_threshold
 from textrisk.operators.checks import require_columns
 from textrisk.operators.joins import join_one_to_one
@@ -37,7 +38,7 @@ def with_outcome(predictions: DataFrame, truth: DataFrame, checked: bool = True)
     wanted = ["Id", "_target"] + ([category] if category else [])
     known = with_truth(truth).select(*wanted)
     out = join_one_to_one(predictions, known, "Id", checked=checked)
-    return out.withColumn("prediction", is_positive(F.col("decision")))
+    return out.withColumn("prediction", evaluated_once(is_positive(F.col("decision")), 0))
 
 
 def full_metrics(outcome: DataFrame) -> DataFrame:

@@ -211,7 +211,7 @@ def _labeled(spark, sf_dir):
 
 def load_labeled_table(spark, sf_dir):
     out = load_labeled(_labeled(spark, sf_dir))
-    return out.select("Id", F.char_length("text").alias("n_chars"), "label", "target")
+    return out.select("Id", F.char_length("text").cast("long").alias("n_chars"), "label", "target")
 
 
 def null_report(spark, sf_dir):
