@@ -20,7 +20,6 @@ from textrisk.operators.features import (
 from textrisk.operators.models import (
     BatchDetector,
     EmbeddingDetector,
-    TfidfDetector,
     load_detector,
 )
 from textrisk.plans import train
