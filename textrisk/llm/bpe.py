@@ -7,7 +7,7 @@ gives each node the last token of the prefix it stands for; words with a common
 nodes, and their encodings are read off by stepping back token by token.
 
 The work is narrow: each batch of texts inserts only the words that its worker has not met yet.
-A worker keeps about ``REMEMBERED`` to twice as many words; forgetting changes no result.
+A worker keeps the words met last.
 """
 
 from __future__ import annotations
@@ -21,12 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from textrisk.llm.common import field_type, map_batches, small_batches, texts_of
+from textrisk.llm.common import Remembered, field_type, map_batches, small_batches, texts_of
 from textrisk.llm.pretokens import WORD_VOCABULARY, PreTokenizer, vocabulary_path
 
-REMEMBERED = 250_000
-
-
 _NEVER = 1 << 60
 
 
@@ -149,17 +146,12 @@ class TrieEncoder:
 
 
 class TextEncoder:
-    """Ids and decoded text of whole texts.
-
-    Words are remembered in two generations: when the young one is full it becomes the old one,
-    so words that keep coming back stay, and the many that come once go.
-    """
+    """Ids and decoded text of whole texts, from the words met so far."""
 
     def __init__(self, name_or_path: str):
         self.pretokens = PreTokenizer(name_or_path)
         self.trie = TrieEncoder(name_or_path)
-        self._young: dict[str, tuple[bytes, str]] = {}
-        self._old: dict[str, tuple[bytes, str]] = {}
+        self.known = Remembered(self._learn)
 
     def _learn(self, new: list[str]) -> dict[str, tuple[bytes, str]]:
         special, ids = self.pretokens.special, self.trie.ids
@@ -171,18 +163,10 @@ class TextEncoder:
             out[word] = struct.pack(f"<{len(tokens)}I", *[ids[t] for t in tokens]), " ".join(tokens)
         return out
 
-    def _lookup(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
-        found = {word: self._young.get(word) or self._old.get(word) for word in words}
-        found.update(self._learn([word for word, known in found.items() if known is None]))
-        if len(self._young) > REMEMBERED:
-            self._young, self._old = {}, self._young
-        self._young.update(found)
-        return found
-
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Of the texts: ids as little-endian 32-bit integers, and decoded texts."""
         split = [self.pretokens.split(text) for text in texts]
-        found = self._lookup(set().union(*split))
+        found = self.known.lookup(set().union(*split))
         ids = {word: known[0] for word, known in found.items()}.__getitem__
         decoded = {word: known[1] for word, known in found.items()}.__getitem__
         return [b"".join(map(ids, words)) for words in split], [" ".join(map(decoded, words)) for words in split]

@@ -84,3 +84,25 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
+
+
+class Remembered:
+    """What ``learn`` says of words, kept for the words met last.
+
+    There are two generations: when the young one is full it becomes the old one, so words that
+    keep coming back stay, and the many that come once go. Forgetting changes no result.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], dict], size: int = 250_000):
+        self._learn, self._size = learn, size
+        self._young: dict = {}
+        self._old: dict = {}
+
+    def lookup(self, words: set[str]) -> dict:
+        young, old = self._young, self._old
+        found = {word: young[word] if word in young else old.get(word) for word in words}
+        found.update(self._learn([word for word, known in found.items() if known is None]))
+        if len(young) > self._size:
+            self._young, self._old = {}, young
+        self._young.update(found)
+        return found

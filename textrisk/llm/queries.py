@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrisk.llm import bpe, token_counts
+from textrisk.llm import (
+    bpe,
+    fingerprints,
+    jaccard_join,
+    line_dedup,
+    packing,
+    quality,
+    token_counts,
+    toxicity,
+    vector_dedup,
+    warc,
+)
 from textrisk.llm.common import read_table
+from textrisk.llm.training import fold
 
 CONTEXT_TOKENS = 2048
+ACCEPTED = 0.3  # scores from which on a label is predicted
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of every document and its near-duplicate component."""
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +40,128 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives."""
+    found = warc.round_trip(read_table(spark, sf_dir, "pages"), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = docs.select("doc_id", quality.quality_score(docs, labels, fold("doc_id", 5) != 0).alias("score"))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", _predicted())
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that recur across sites."""
+    docs = read_table(spark, sf_dir, "documents")
+    return line_dedup.remove_boilerplate(docs).select("doc_id", "text")
+
+
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = docs.select("doc_id", toxicity.toxicity_score(docs, labels, fold("doc_id", 4) != 2).alias("score"))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", _predicted())
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.edited_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it exceeds a context of 2,048 tokens."""
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 tokens, one row per piece."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def _predicted() -> Column:
+    return F.when(F.col("score") >= ACCEPTED, 1).otherwise(0).alias("predicted")
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_jaccard_join,
+        op2_bpe,
+        op3_warc,
+        op4_quality,
+        op5_line_dedup,
+        op6_vector_dedup,
+        op7_toxicity,
+        op8_fingerprints,
+        op9_token_counts,
+        op10_packing,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+# Set against the same tables in SQL. The models and the tokenizers have no SQL counterpart.
+ORACLES = {
+    "op3_warc": f"""
+        WITH hashed AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), firsts AS (
+            SELECT payload_digest, min(page_id) AS first FROM hashed
+            WHERE payload_bytes >= {warc.SMALLEST_REVISITED} GROUP BY ALL
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM hashed LEFT JOIN firsts USING (payload_digest)
+    """,
+    "op5_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, coalesce(source, '') AS site, text, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS nth
+            FROM documents
+        ), spread AS (
+            SELECT trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY trim(line)
+            HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES} AND count(DISTINCT text) >= {line_dedup.MIN_SITES}
+        ), kept AS (
+            SELECT doc_id, string_agg(l.line, chr(10) ORDER BY nth) AS text
+            FROM lines l LEFT JOIN spread s ON trim(l.line) = s.line WHERE s.line IS NULL GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+        FROM documents d LEFT JOIN kept k USING (doc_id)
+    """,
+    "op1_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM words WHERE len(ws) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY ALL
+            HAVING 100 * count(*) >= 75 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id)
+                                          + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))
+        ), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        )
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id
+        FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN reached r ON r.a = d.doc_id
+        GROUP BY d.doc_id
+    """,
+}

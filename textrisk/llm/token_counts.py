@@ -22,14 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from textrisk.llm.common import as_batch, field_type, small_batches, texts_of
+from textrisk.llm.common import Remembered, as_batch, field_type, small_batches, texts_of
 from textrisk.llm.pretokens import WORD_VOCABULARY, PreTokenizer
 
 # Documents, and characters, after which a block is closed.
 BLOCK_DOCS = 4_000
 BLOCK_CHARS = 16_000_000
-# Distinct pre-tokens that a task keeps the piece counts of; beyond it they are counted anew.
-REMEMBERED = 300_000
 
 
 class PieceCounter:
@@ -37,18 +35,16 @@ class PieceCounter:
 
     def __init__(self, vocabulary: str):
         self.pretokens = PreTokenizer(vocabulary)
-        self._known: dict[str, int] = {}
+        self.known = Remembered(self._learn)
+
+    def _learn(self, new: list[str]) -> dict[str, int]:
+        special, spell = self.pretokens.special, self.pretokens.spell
+        pieces = self.pretokens.tokenizer.model.tokenize
+        return {word: 1 if word in special else len(pieces(spell(word))) for word in new}
 
     def counts(self, pretokens: list[str]) -> np.ndarray:
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        model = self.pretokens.tokenizer.model
-        for word in pretokens:
-            if word not in known:
-                special = word in self.pretokens.special
-                known[word] = 1 if special else len(model.tokenize(self.pretokens.spell(word)))
-        return np.array([known[word] for word in pretokens], np.int64)
+        found = self.known.lookup(set(pretokens))
+        return np.array([found[word] for word in pretokens], np.int64)
 
 
 @lru_cache(maxsize=2)
