@@ -134,8 +134,9 @@ def with_next(
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).alias("id"))
-    cuts = ids.stat.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)
-    cuts = np.unique(np.array(cuts, np.int64)) if cuts else np.zeros(0, np.int64)
+    places = [i / parts for i in range(1, parts)]
+    cuts = ids.stat.approxQuantile("id", places, 0.1 / parts) if places else []
+    cuts = np.unique(np.array(cuts, np.int64))
 
     def part_numbers(column: pa.Array) -> np.ndarray:
         """Higher ids have lower numbers; null ids the highest of all."""
