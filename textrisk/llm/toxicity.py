@@ -1,12 +1,12 @@
 """A toxicity classifier over bags of subwords.
 
 A word's vector is the mean of the vectors of its whole form and its character n-grams, which
-share ``BUCKETS`` rows by a hash, so a misspelt word keeps most of a known word's vector. Texts
-are cut into windows of a few words; a window's mean vector goes into a linear softmax, and
-vectors and softmax are trained together. A few toxic words make a long text toxic, so a text
-counts by its most toxic window; while training, only the windows of a toxic text that look most
-toxic so far count as examples. A logistic curve fitted on rows set aside turns the window's
-margin into a probability.
+share ``BUCKETS`` rows by a hash, so a misspelt or derived word keeps most of a known word's
+vector. Vectors and a linear softmax on them are trained together: every distinct word of the
+training texts is an example, labelled by the shares of toxic and of clean texts that hold it.
+A few toxic words make a long text toxic, so a text is judged by its most toxic word and by the
+share of its words that are toxic; a logistic curve fitted on rows set aside turns the two into
+a probability.
 
 As all steps before the softmax are means, a trained model is one number per bucket.
 """
@@ -25,14 +25,14 @@ from pyspark.sql import types as T
 from textrisk.llm.common import Remembered, small_batches, texts_of
 from textrisk.llm.training import Adam, logistic, training_rows
 
-BUCKETS, DIMENSIONS = 1 << 16, 8
+BUCKETS, DIMENSIONS = 1 << 18, 4
 SHORTEST, LONGEST = 3, 5  # character n-grams, word ends marked
 WINDOW = 8  # words
-TRAINING_ROWS_PER_CLASS = 800
-EPOCHS = 40
-RATE, DECAY = 0.05, 3e-5
-PRIOR_MARGIN = 2.0
-TOP_WINDOWS = 2  # of a toxic text, that count as examples
+TRAINING_ROWS_PER_CLASS = 2_000
+EPOCHS = 60
+RATE = 0.1
+LEAST_GRADIENT = 1e-4  # entries with smaller ones, as those of a rare word, hardly move
+SMOOTHING = 0.5  # texts of either label that are added to those that hold a word
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -58,18 +58,6 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(listed), flat, sizes
 
 
-def window_bounds(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows among the words of all texts, and the text of each window.
-
-    Windows overlap by half, so that words near a cut have a window in common.
-    """
-    step = WINDOW // 2
-    counts = np.where(sizes > 0, np.maximum(1, -(-(sizes - WINDOW) // step) + 1), 0)
-    text = np.repeat(np.arange(len(sizes)), counts)
-    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    return (np.cumsum(sizes) - sizes)[text] + nth * step, text
-
-
 def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words one after the other, and where each word's begin."""
     bags = [subwords(word) for word in words]
@@ -84,7 +72,7 @@ class ToxicityModel:
         self.known = Remembered(self._learn)
         self.margins = np.zeros(BUCKETS, np.float32)
         self.bias = 0.0
-        self.curve = (0.0, float(np.log(prior / (1 - prior))))
+        self.curve = np.array([0.0, 0.0, np.log(prior / (1 - prior))])
 
     def _learn(self, new: list[str]) -> dict[str, float]:
         """The mean margin of each word's subwords."""
@@ -95,23 +83,22 @@ class ToxicityModel:
         means = np.add.reduceat(self.margins[bags].astype(np.float64), heads) / lengths
         return dict(zip(new, means.tolist(), strict=True))
 
-    def text_margins(self, texts: list[str]) -> np.ndarray:
-        """The margin of each text's most toxic window; of a text without words, the bias."""
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """Of each text: the margin of its most toxic word, and the logarithm of the share of its
+        words that are toxic by their probabilities. A text without words shows nothing."""
         words, flat, sizes = words_of(texts)
-        out = np.full(len(texts), self.bias)
+        best, share = np.full(len(texts), self.bias), np.full(len(texts), logistic(np.array(self.bias)))
         if len(flat):
             found = self.known.lookup(set(words))
-            value = np.array([found[word] for word in words])
-            starts, text = window_bounds(sizes)
-            summed = np.concatenate([[0.0], np.cumsum(value[flat])])
-            stops = np.minimum(starts + WINDOW, np.cumsum(sizes)[text])
-            np.maximum.at(best := np.full(len(texts), -np.inf), text, (summed[stops] - summed[starts]) / (stops - starts))
-            out[sizes > 0] = best[sizes > 0] + self.bias
-        return out
+            margins = np.array([found[word] for word in words])[flat] + self.bias
+            some = sizes > 0
+            heads = (np.cumsum(sizes) - sizes)[some]
+            best[some] = np.maximum.reduceat(margins, heads)
+            share[some] = np.add.reduceat(logistic(margins), heads) / sizes[some]
+        return np.column_stack([best, np.log(share)])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        slope, offset = self.curve
-        return logistic(slope * self.text_margins(texts) + offset)
+        return logistic(self.evidence(texts) @ self.curve[:2] + self.curve[2])
 
     def fit(self, texts: list[str], labels: np.ndarray, shares: tuple[float, float]) -> None:
         """A fifth of the rows is set aside for the curve. ``shares``: weight of a row by label."""
@@ -120,87 +107,55 @@ class ToxicityModel:
         self._fit_vectors([texts[i] for i in used], labels[used])
         if len(aside):
             weights = np.where(labels[aside] == 1, shares[1], shares[0])
-            self._fit_curve(self.text_margins([texts[i] for i in aside]), labels[aside], weights / weights.mean())
+            self._fit_curve(self.evidence([texts[i] for i in aside]), labels[aside], weights / weights.mean())
 
     def _fit_vectors(self, texts: list[str], labels: np.ndarray) -> None:
-        words, flat, sizes = words_of(texts)
+        held: dict[str, list[int]] = {}  # of each word: distinct clean and toxic texts with it
+        for text, label in {t: int(y) for t, y in zip(texts, labels, strict=True)}.items():
+            for word in set(words_of([text])[0]):
+                held.setdefault(word, [0, 0])[label] += 1
+        words = list(held)
+        counts = np.array(list(held.values()), np.float64)
+        share = counts[:, 1] / counts.sum(axis=1)
+        weight = counts.sum(axis=1) / (counts.sum(axis=1) + 2 * SMOOTHING) * np.sqrt(counts.sum(axis=1))
+        weight /= weight.sum()
         bags, heads = _bags(words)
         lengths = np.diff(np.append(heads, len(bags)))
         member = np.repeat(np.arange(len(words)), lengths)
-        starts, text = window_bounds(sizes)
-        ends = np.cumsum(sizes)[text]
-        places = starts[:, None] + np.arange(WINDOW)
-        inside = places < ends[:, None]
-        window = np.where(inside, flat[np.minimum(places, len(flat) - 1)], len(words))
-        _, kept = np.unique(np.column_stack([text, window]), axis=0, return_index=True)
-        text, window, inside = text[kept], window[kept], inside[kept]
-        share = inside / inside.sum(axis=1, keepdims=True)
-        y = labels[text]
         random = np.random.Generator(np.random.PCG64(11))
-        vectors = random.normal(0, 0.1, (BUCKETS, DIMENSIONS))
-        # Starting from a clean prior, words that tell nothing stay near zero.
-        softmax, bias = random.normal(0, 0.5, (DIMENSIONS, 2)), np.array([PRIOR_MARGIN / 2, -PRIOR_MARGIN / 2])
-        adam = Adam([vectors, softmax, bias], RATE)
-        for epoch in range(EPOCHS):
-            of_word = np.add.reduceat(vectors[bags], heads, axis=0) / lengths[:, None]
-            of_word = np.vstack([of_word, np.zeros(DIMENSIONS)])
-            mean = np.einsum("nw,nwd->nd", share, of_word[window])
+        vectors = random.normal(0, 0.05, (BUCKETS, DIMENSIONS))
+        toxic = (weight * share).sum()
+        softmax, bias = random.normal(0, 0.5, (DIMENSIONS, 2)), np.log([1 - toxic, toxic])
+        adam = Adam([vectors, softmax, bias], RATE, LEAST_GRADIENT)
+        for _ in range(EPOCHS):
+            mean = np.add.reduceat(vectors[bags], heads, axis=0) / lengths[:, None]
             logits = mean @ softmax + bias
-            probable = logistic(logits[:, 1] - logits[:, 0])
-            weight = _window_weights(text, y, probable, epoch)
-            wrong = (probable - y) * weight
+            wrong = (logistic(logits[:, 1] - logits[:, 0]) - share) * weight
             both = np.column_stack([-wrong, wrong])
-            to_mean = both @ softmax.T
-            to_word = np.empty((len(words) + 1, DIMENSIONS))
-            spread = (share[:, :, None] * to_mean[:, None, :]).reshape(-1, DIMENSIONS)
-            places = window.ravel()
-            for d in range(DIMENSIONS):
-                to_word[:, d] = np.bincount(places, weights=spread[:, d], minlength=len(words) + 1)
-            to_word = to_word[:-1] / lengths[:, None]
+            to_word = both @ softmax.T / lengths[:, None]
             to_bucket = np.column_stack(
                 [np.bincount(bags, weights=to_word[member, d], minlength=BUCKETS) for d in range(DIMENSIONS)]
             )
-            adam.step([to_bucket + DECAY * vectors, mean.T @ both + DECAY * softmax, both.sum(axis=0)])
-        direction = softmax[:, 1] - softmax[:, 0]
-        self.margins = (vectors @ direction).astype(np.float32)
+            adam.step([to_bucket, mean.T @ both, both.sum(axis=0)])
         # Buckets that no training word fell into are neutral.
         unseen = np.ones(BUCKETS, bool)
         unseen[bags] = False
+        self.margins = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
         self.margins[unseen] = 0.0
         self.bias = float(bias[1] - bias[0])
         self.known = Remembered(self._learn)
 
-    def _fit_curve(self, margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        scale = margins.std() + 1e-6
-        x = np.column_stack([margins / scale, np.ones(len(margins))])
-        slope = np.array([1.0, 0.0])
-        for _ in range(50):  # Newton's steps on a penalised fit of two numbers
+    def _fit_curve(self, evidence: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        shift, scale = evidence.mean(axis=0), evidence.std(axis=0) + 1e-6
+        x = np.column_stack([(evidence - shift) / scale, np.ones(len(evidence))])
+        slope = np.zeros(3)
+        for _ in range(50):  # Newton's steps on a penalised fit of three numbers
             p = logistic(x @ slope)
-            gradient = x.T @ ((p - labels) * weights) + 1e-3 * slope
-            curvature = (x * (p * (1 - p) * weights)[:, None]).T @ x + 1e-3 * np.eye(2)
+            gradient = x.T @ ((p - labels) * weights) + 1e-2 * slope
+            curvature = (x * (p * (1 - p) * weights)[:, None]).T @ x + 1e-2 * np.eye(3)
             move = np.linalg.solve(curvature, gradient)
             slope -= move * min(1.0, 2.0 / (np.abs(move).max() + 1e-9))
-        self.curve = float(slope[0] / scale), float(slope[1])
-
-
-def _window_weights(text: np.ndarray, y: np.ndarray, probable: np.ndarray, epoch: int) -> np.ndarray:
-    """Windows of clean texts weigh the same in all as those of toxic ones.
-
-    Of a toxic text, after some epochs, only the windows that look most toxic count, by their
-    probability: a text without any such window may be labelled wrongly.
-    """
-    weight = np.ones(len(y))
-    if epoch >= EPOCHS // 4:
-        order = np.lexsort((-probable, text))
-        rank = np.empty(len(order), np.int64)
-        heads = np.flatnonzero(np.diff(text[order], prepend=-1))
-        rank[order] = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
-        weight = np.where(y == 1, np.where(rank < TOP_WINDOWS, probable, 0.0), weight)
-    for label in (0, 1):
-        total = weight[y == label].sum()
-        if total:
-            weight[y == label] /= 2 * total
-    return weight
+        self.curve = np.array([*(slope[:2] / scale), slope[2] - (slope[:2] / scale) @ shift])
 
 
 def train(

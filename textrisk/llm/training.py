@@ -35,10 +35,13 @@ def training_rows(
 
 
 class Adam:
-    """Gradient steps for arrays that are changed in place."""
+    """Gradient steps for arrays that are changed in place.
 
-    def __init__(self, arrays: list[np.ndarray], rate: float):
-        self.arrays, self.rate, self.turn = arrays, rate, 0
+    Entries whose gradients are well below ``least`` move by their gradient only, and so hardly.
+    """
+
+    def __init__(self, arrays: list[np.ndarray], rate: float, least: float = 1e-8):
+        self.arrays, self.rate, self.least, self.turn = arrays, rate, least, 0
         self.first = [np.zeros_like(a) for a in arrays]
         self.second = [np.zeros_like(a) for a in arrays]
 
@@ -47,7 +50,7 @@ class Adam:
         for a, m, v, g in zip(self.arrays, self.first, self.second, gradients, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            a -= self.rate * (m / (1 - 0.9**self.turn)) / (np.sqrt(v / (1 - 0.999**self.turn)) + 1e-8)
+            a -= self.rate * (m / (1 - 0.9**self.turn)) / (np.sqrt(v / (1 - 0.999**self.turn)) + self.least)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
