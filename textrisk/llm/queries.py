@@ -149,12 +149,12 @@ ORACLES = {
             FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM words WHERE len(ws) > 0)
         ), sizes AS (
             SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
         ), links AS (
-            SELECT a.doc_id AS a, b.doc_id AS b
-            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
-            GROUP BY ALL
-            HAVING 100 * count(*) >= 75 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id)
-                                          + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * both >= 75 * (x.n + y.n - both)
         ), reached AS (
             SELECT doc_id AS a, doc_id AS b FROM documents
             UNION

@@ -266,7 +266,8 @@ def read_archives(archives: DataFrame, id_type: T.DataType, with_payload: bool =
                 if rows:
                     yield as_batch([[row[name] for row in rows] for name in names], arrow)
 
-    spread = archives.select("path").repartition("path")
+    # One task per archive; a hash of the paths would be merged into few tasks, being small.
+    spread = archives.select("path").repartition(max(1, archives.count()))
     found = spread.mapInArrow(run, schema)
     return found.withColumn("refers_to", F.col("refers_to").cast(id_type)).select(
         F.col("id").cast(id_type).alias("page_id"), *names[1:]
