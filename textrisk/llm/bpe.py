@@ -163,13 +163,12 @@ class TextEncoder:
             out[word] = struct.pack(f"<{len(tokens)}I", *[ids[t] for t in tokens]), " ".join(tokens)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+    def encode(self, texts: list[str]) -> tuple[tuple[bytes, ...], tuple[str, ...]]:
         """Of the texts: ids as little-endian 32-bit integers, and decoded texts."""
         split = [self.pretokens.split(text) for text in texts]
         found = self.known.lookup(set().union(*split))
-        ids = {word: known[0] for word, known in found.items()}.__getitem__
-        decoded = {word: known[1] for word, known in found.items()}.__getitem__
-        return [b"".join(map(ids, words)) for words in split], [" ".join(map(decoded, words)) for words in split]
+        pairs = ([found[word] for word in words] for words in split)
+        return tuple(zip(*[(b"".join([p[0] for p in ps]), " ".join([p[1] for p in ps])) for ps in pairs], strict=True))
 
 
 @lru_cache(maxsize=2)

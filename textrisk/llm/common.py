@@ -99,10 +99,15 @@ class Remembered:
         self._old: dict = {}
 
     def lookup(self, words: set[str]) -> dict:
+        """What is known, of these words at least."""
+        if len(self._young) > self._size:
+            self._young, self._old = {}, self._young
         young, old = self._young, self._old
-        found = {word: young[word] if word in young else old.get(word) for word in words}
-        found.update(self._learn([word for word, known in found.items() if known is None]))
-        if len(young) > self._size:
-            self._young, self._old = {}, young
-        self._young.update(found)
-        return found
+        new = []
+        for word in words - young.keys():
+            if word in old:
+                young[word] = old[word]
+            else:
+                new.append(word)
+        young.update(self._learn(new))
+        return young

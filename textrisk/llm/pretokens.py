@@ -56,11 +56,16 @@ class PreTokenizer:
         self._split = re.compile(_WORD_SPLIT if self.lowers else _BYTE_SPLIT).findall
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {f"\x00\x00{token.content}": number for number, token in added.items()}
-        self._added = re.compile("(" + "|".join(re.escape(t.content) for t in added.values()) + ")")
+        self._contents = [token.content for token in added.values()]
+        self._added = re.compile("(" + "|".join(map(re.escape, self._contents)) + ")")
         self._letters = byte_alphabet()
 
+    def is_plain(self, text: str) -> bool:
+        """Whether the text has plain characters only, and no special token."""
+        return self._plain(text) is not None and not any(token in text for token in self._contents)
+
     def split(self, text: str) -> list[str]:
-        if self._plain(text) and not self._added.search(text):
+        if self.is_plain(text):
             return self._split(text.lower() if self.lowers else text)
         out = []
         for i, part in enumerate(self._added.split(text)):

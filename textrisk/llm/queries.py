@@ -150,11 +150,11 @@ ORACLES = {
         ), sizes AS (
             SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL
         ), common AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
             FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
         ), links AS (
             SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-            WHERE 100 * both >= 75 * (x.n + y.n - both)
+            WHERE 100 * shared >= 75 * (x.n + y.n - shared)
         ), reached AS (
             SELECT doc_id AS a, doc_id AS b FROM documents
             UNION
