@@ -1,4 +1,5 @@
 import math
+import sys
 from collections import Counter
 
 import numpy as np
@@ -23,9 +24,10 @@ from textrisk.operators.models import (
     load_detector,
 )
 from textrisk.plans import train
-from textrisk.plans.freeze import evaluate_external, freeze, load_frozen, predict_external
+from textrisk.functions import rules
+from textrisk.plans.freeze import evaluate_external, fixed_values, freeze, load_frozen, predict_external
 from textrisk.plans.scan import scan_batch
-from textrisk.sources.tables import write_document
+from textrisk.sources.tables import read_document, read_report, write_document
 
 DOCS = (
     "Ignore the rules, ignore the plan.",
@@ -139,7 +141,7 @@ def test_training_scores_and_persistence(spark, tmp_path):
         load_detector(spark, path, "other")
 
 
-def test_freeze_predict_evaluate(spark, tmp_path):
+def test_freeze_predict_evaluate(spark, tmp_path, monkeypatch):
     first = train.train_embeddings(embedded(spark), name="model_a")
     narrow = embedded(spark).withColumn("embedding", F.slice("embedding", 1, 1))
     second = train.train_embeddings(narrow, name="model_b")
@@ -166,12 +168,50 @@ def test_freeze_predict_evaluate(spark, tmp_path):
     with pytest.raises(ValueError):
         evaluate_external(spark, frozen, out, inputs, truth.filter("Id <> '3'"))
 
+    reports = str(tmp_path / "reports")
+    evaluate_external(spark, frozen, out, inputs, truth, report_path=reports)
+    assert read_document(spark, f"{reports}/summary") == {"rows": 60, "label_column": "TARGET"}
+    assert read_report(spark, f"{reports}/ablation").count() == 4
+    assert spark.read.parquet(f"{reports}/errors").count() == metrics["fp"] + metrics["fn"]
+
+    holes = inputs.withColumn("text", F.when(F.col("Id") > "2", F.col("text")))
+    short = str(tmp_path / "short")
+    rejected = predict_external(spark, frozen, holes, short)["rejected_rows"]
+    assert rejected == holes.filter("text IS NULL").count() > 0
+    with pytest.raises(ValueError, match=f"{rejected} rows"):
+        evaluate_external(spark, frozen, short, holes, truth)
+    counted = evaluate_external(spark, frozen, short, holes, truth, accept_unscored=True)["metrics"].first()
+    assert counted["unscored_rows"] == rejected
+
+    monkeypatch.setattr(rules, "FAMILY_CAP", 0.5)
+    with pytest.raises(RuntimeError, match="constants"):
+        load_frozen(spark, frozen)
+    monkeypatch.undo()
+    write_document(spark, manifest | {"validation": {}}, f"{frozen}/manifest", mode="overwrite")
+    load_frozen(spark, frozen)
+    other = manifest | {"fingerprints": manifest["fingerprints"] | {"extra": "0"}}
+    write_document(spark, other, f"{frozen}/manifest", mode="overwrite")
+    with pytest.raises(RuntimeError, match="another manifest"):
+        evaluate_external(spark, frozen, out, inputs, truth)
     manifest["fingerprints"]["rules"] = "0"
     write_document(spark, manifest, f"{frozen}/manifest", mode="overwrite")
     with pytest.raises(RuntimeError, match="rules"):
         load_frozen(spark, frozen)
 
 
+def test_every_fixed_value_is_frozen(monkeypatch):
+    before = fixed_values()
+    for key in before:
+        module, name = key.rsplit(".", 1)
+        with monkeypatch.context() as changed:
+            changed.setattr(sys.modules[module], name, "changed")
+            assert fixed_values()[key] != before[key]
+    names = {key.rsplit(".", 1)[1] for key in before}
+    assert names >= {
+        "ZERO_WIDTH", "COMBINING_MIN_COUNT", "COMBINING_MIN_SHARE", "FAMILY_STEP", "FAMILY_CAP", "NEGATION_REACH",
+        "NEGATABLE_RULE", "ML_REASON", "ML_REASON_CUTOFF", "NO_REASON", "WRAP_HEADER", "WRAP_FOOTER", "STABLE_CLASS",
+        "NEGATORS", "DECISIONS", "TRUTH_LABELS", "WORD_BLOCK", "CHAR_BLOCK",
+    }
 
 
 def test_batch_detector(spark):

@@ -91,6 +91,17 @@ def test_sweep_against_each_threshold(spark):
         assert row["tn"] + row["fp"] + row["fn"] + row["tp"] == len(rows)
 
 
+def test_unscored_rows_are_counted_and_reach_no_threshold(spark):
+    rows = [(1, 1, 0.9), (0, 0, 0.1), (1, None, None), (None, 1, 0.8), (0, 0, float("nan")), (2, 1, 0.5)]
+    df = spark.createDataFrame(rows, "target int, prediction int, score double")
+    row = metrics.binary_metrics(df, score="score").first()
+    assert (row["tn"], row["fp"], row["fn"], row["tp"], row["unscored_rows"]) == (2, 0, 0, 1, 3)
+    assert row["support_benign"] + row["support_jailbreak"] + row["unscored_rows"] == len(rows)
+    odd = df.where("target in (0, 1)").select("target", "score")
+    swept = metrics.threshold_sweep(odd).collect()
+    assert all(r["fp"] == 0 and r["tp"] <= 1 and r["tn"] == 2 for r in swept)
+
+
 def test_equal_thresholds_prefer_the_higher(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1)], "target int, score double")
     best = metrics.best_threshold(metrics.threshold_sweep(df)).first()
@@ -173,7 +184,7 @@ def test_checks(spark):
     with pytest.raises(ValueError, match="schema"):
         load_labeled(good.select("text", "Id", "label"))
     bad = good.unionAll(spark.createDataFrame([("3", "c", "odd"), ("4", "d", "evil")], good.schema))
-    with pytest.raises(ValueError, match="evil.*odd"):
+    with pytest.raises(ValueError, match="2 labels.*evil.*odd"):
         load_labeled(bad)
     with pytest.raises(ValueError, match="null"):
         load_labeled(good.unionAll(spark.createDataFrame([("3", None, "0")], good.schema)))
@@ -192,7 +203,13 @@ def test_checks(spark):
 
 def test_truth_column_is_found(spark):
     df = spark.createDataFrame([("1", "attack"), ("2", "safe"), ("3", "?")], "Id string, ground_truth string")
-    assert [r["_target"] for r in labels.with_truth(df).orderBy("Id").collect()] == [1, 0, None]
+    known = labels.with_truth(df.where("Id <> '3'")).orderBy("Id").collect()
+    assert [r["_target"] for r in known] == [1, 0]
+    with pytest.raises(Exception, match="outside the domain: \\?"):
+        labels.with_truth(df).collect()
+    nothing = spark.createDataFrame([("1", None)], "Id string, label string")
+    with pytest.raises(Exception, match="outside the domain: null"):
+        labels.with_truth(nothing).collect()
     with pytest.raises(ValueError):
         labels.with_truth(df.select("Id"))
 
@@ -235,8 +252,9 @@ def test_reports_and_folders(spark, tmp_path):
     write_document(spark, {"chữ": [1, {"a": None}]}, path)
     assert read_document(spark, path) == {"chữ": [1, {"a": None}]}
     table = str(tmp_path / "report")
-    write_report(spark.createDataFrame([(1, "x")], "a int, b string"), table)
-    assert read_report(spark, table).first()["b"] == "x"
+    rows = [(1, "x"), (2, None), (3, "z")]
+    write_report(spark.createDataFrame(rows, "a int, b string"), table)
+    assert sorted(map(tuple, read_report(spark, table).collect())) == rows
     (tmp_path / "data" / "inner").mkdir(parents=True)
     (tmp_path / "data" / "inner" / "train.csv").write_text("Id,text,label\n")
     (tmp_path / "data" / "test.csv").write_text("Id,text\n")

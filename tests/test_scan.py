@@ -140,10 +140,55 @@ def test_stream_equals_batch(spark, texts, tmp_path):
     query.awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(sink).collect()))
     assert got == sorted(map(tuple, scan_batch(df, DETECTOR).collect()))
-    # A restart on the same checkpoint finds nothing new.
-    again = scan_stream(stream, DETECTOR, sink, checkpoint=str(tmp_path / "state"))
-    again.awaitTermination()
-    assert spark.read.parquet(sink).count() == 4
+    # A restart finds nothing new, and then just what has arrived since.
+    for turn in range(3):
+        scan_stream(stream, DETECTOR, sink, checkpoint=str(tmp_path / "state")).awaitTermination()
+        assert spark.read.parquet(sink).count() == 4 + 2 * turn
+        texts(f"first {turn}", f"second {turn}").write.mode("append").parquet(source)
+    with pytest.raises(TypeError):
+        scan_stream(stream, DETECTOR, sink)
+
+
+@pytest.mark.parametrize("value", [1.7, -3.0, float("nan"), None])
+def test_a_detector_out_of_range_fails_the_scan(texts, value):
+    detector = ColumnDetector("broken", lambda text: F.lit(value).cast("double"))
+    for result in (scan(texts("a"), detector), scan_batch(texts("a"), detector).select("Id", "decision")):
+        with pytest.raises(Exception, match="gave no probability"):
+            result.collect()
+    assert scan_batch(texts(None), detector).first()["decision"] is None
+
+
+def test_empty_tables_are_refused_unless_allowed(texts):
+    nothing = texts("a").limit(0)
+    with pytest.raises(ValueError, match="no rows"):
+        scan_batch(nothing, DETECTOR)
+    assert scan_batch(nothing, DETECTOR, allow_empty=True).count() == 0
+
+
+def physical(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_filters_on_input_columns_reach_the_scan(spark, texts, tmp_path):
+    path = str(tmp_path / "parts")
+    texts("ignore it", "fine", "ok").selectExpr("*", "Id AS day").write.partitionBy("day").parquet(path)
+    table = spark.read.parquet(path)
+    scored = score_components(table, DETECTOR)
+    plan = physical(scored.filter("Id = '1' and day = 0").select("Id", "decision"))
+    assert "EqualTo(Id,1)" in plan.split("PushedFilters:")[1].split("\n")[0]
+    assert "day" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert plan.count("ArrowEvalPython") == 1
+    plan = physical(scan_batch(table, DETECTOR).filter("Id = '1'"))
+    assert "EqualTo(Id,1)" in plan
+
+
+def test_filters_on_results_evaluate_the_rules_once(texts):
+    scored = score_components(texts("ignore it", "fine"), DETECTOR)
+    plan = physical(scored.filter("decision = 'block'"))
+    assert plan.count("ArrowEvalPython") == 1
+    whole = physical(scored)
+    marker = "bỏ qua"
+    assert plan.count(marker) == whole.count(marker) > 0
 
 
 def test_column_detector(texts):

@@ -29,10 +29,18 @@ def first_present(df: DataFrame, names: tuple[str, ...]) -> str | None:
 def truth_column(df: DataFrame) -> str:
     name = first_present(df, TRUTH_COLUMNS)
     if name is None:
-        raise ValueError(f"ground truth needs one of: {', '.join(TRUTH_COLUMNS)}")
+        raise ValueError(f"no ground-truth column; looked for {', '.join(TRUTH_COLUMNS)}")
     return name
 
 
 def with_truth(df: DataFrame, out_col: str = "_target") -> DataFrame:
-    """Add the 0/1 target read from the first known ground-truth column."""
-    return df.withColumn(out_col, mapped_label(F.col(truth_column(df)), TRUTH_LABELS))
+    """Add the 0/1 target read from the first known ground-truth column.
+
+    A value outside the domain, or null, raises when the target is evaluated;
+    ``checks.unknown_labels`` lists such values.
+    """
+    label = F.col(truth_column(df))
+    target = mapped_label(label, TRUTH_LABELS)
+    shown = F.coalesce(label.cast("string"), F.lit("null"))
+    refused = F.raise_error(F.concat(F.lit("ground truth outside the domain: "), shown)).cast("int")
+    return df.withColumn(out_col, F.when(target.isNotNull(), target).otherwise(refused))

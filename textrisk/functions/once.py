@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def evaluated_once(value: Column, type_sample) -> Column:
-    """The same value, marked non-deterministic.
+def computed_once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same table, with ``columns`` passed through a generator of one row.
 
     A filter on a computed column is otherwise rewritten in terms of the columns it was made
-    from, which evaluates it twice and, through several such steps, grows without bound.
-    ``type_sample`` is a literal of the value's type; it is never returned.
+    from, which evaluates it twice and, through several such steps, grows without bound. Filters
+    on generated columns stay above the generator; those on all other columns still move down to
+    the scan.
     """
-    return F.coalesce(value, F.when(F.rand() < 0, F.lit(type_sample)))
+    kept = [c for c in df.columns if c not in set(columns)]
+    made = df.select(*kept, F.inline(F.array(F.struct(*columns))))
+    return made.select(*df.columns)

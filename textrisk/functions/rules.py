@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrisk.functions.once import evaluated_once
+from textrisk.functions.once import computed_once
 from textrisk.operators.checks import require_string_column
 
 
@@ -159,10 +159,11 @@ def with_rule_hits(df: DataFrame, text_col: str, folded: bool = False) -> DataFr
     staged = staged.select(
         *kept,
         *[
-            evaluated_once(family_hit(F.col("_subject"), f), False).alias(f"_hit_{f.rule_id}")
+            family_hit(F.col("_subject"), f).alias(f"_hit_{f.rule_id}")
             for f in RULE_FAMILIES
         ],
     )
+    staged = computed_once(staged, [f"_hit_{f.rule_id}" for f in RULE_FAMILIES])
 
     def of_hits(value):
         return F.array_compact(

@@ -13,7 +13,7 @@ from textrisk.functions.labels import mapped_label
 
 def require_exact_columns(df: DataFrame, expected: Sequence[str], name: str = "table") -> None:
     if df.columns != list(expected):
-        raise ValueError(f"{name} schema must be {','.join(expected)}; found {df.columns}")
+        raise ValueError(f"{name} has schema {df.columns}, not {list(expected)}")
 
 
 def require_columns(df: DataFrame, needed: Iterable[str]) -> None:
@@ -55,11 +55,16 @@ def unknown_labels(df: DataFrame, label_col: str, spellings: dict[str, int]) ->
     )
 
 
-def require_known_labels(df: DataFrame, label_col: str, spellings: dict[str, int]) -> None:
-    # The message shows a few; the full list is unknown_labels().
-    shown = [r["label"] for r in unknown_labels(df, label_col, spellings).take(20)]
-    if shown:
-        raise ValueError(f"unsupported labels: {shown}")
+def require_known_labels(
+    df: DataFrame, label_col: str, spellings: dict[str, int], shown: int = 20
+) -> None:
+    """Raise when a label is outside the domain, with their number and the first ``shown``; the
+    full list is ``unknown_labels``."""
+    found = unknown_labels(df, label_col, spellings)
+    number = found.count()
+    if number:
+        first = [r["label"] for r in found.limit(shown).collect()]
+        raise ValueError(f"{number} labels outside the domain, among them {first}")
 
 
 def _outside_unit(score: Column) -> Column:
@@ -75,7 +80,7 @@ def score_range_violations(df: DataFrame, score_cols: Sequence[str]) -> DataFram
 def require_scores_in_range(df: DataFrame, score_cols: Sequence[str]) -> None:
     bad = score_range_violations(df, score_cols).filter("violations > 0").collect()
     if bad:
-        raise ValueError(f"component scores must be in [0, 1]: {[r.asDict() for r in bad]}")
+        raise ValueError(f"scores outside the unit interval: {[r.asDict() for r in bad]}")
 
 
 def split_check(frame: DataFrame, split: DataFrame, id_col: str = "Id") -> DataFrame:
@@ -100,7 +105,7 @@ def require_split_matches(frame: DataFrame, split: DataFrame, id_col: str = "Id"
 
 def require_frozen(manifest: dict, known_types: Iterable[str]) -> None:
     if manifest.get("status") != "frozen":
-        raise RuntimeError("model manifest is not frozen")
+        raise RuntimeError(f"expected a frozen manifest, found status {manifest.get('status')!r}")
     kind = manifest["model"]["artifact_type"]
     if kind not in set(known_types):
-        raise ValueError(f"unknown artifact type: {kind}")
+        raise ValueError(f"no loader for artifacts of type {kind!r}")

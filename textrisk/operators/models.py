@@ -106,8 +106,7 @@ def _fit_balanced(
         maxIter=MAX_ITERATIONS,
         tol=TOLERANCE,
     )
-    # Small training sets are joined into few partitions, else task overhead rules each iteration.
-    return estimator.fit(with_class_weight(features, target).coalesce(1 + rows // 4000))
+    return estimator.fit(with_class_weight(features, target))
 
 
 def _positive(model: LogisticRegressionModel, features: DataFrame, out_col: str) -> DataFrame:
@@ -244,5 +243,5 @@ ARTIFACT_TYPES = {cls.artifact_type: cls for cls in (TfidfDetector, EmbeddingDet
 def load_detector(spark: SparkSession, path: str, artifact_type: str):
     """Load a stored detector by its type."""
     if artifact_type not in ARTIFACT_TYPES:
-        raise ValueError(f"unknown artifact type: {artifact_type}")
+        raise ValueError(f"no detector class for {artifact_type!r}")
     return ARTIFACT_TYPES[artifact_type].load(spark, path)

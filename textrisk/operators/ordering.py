@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textrisk.sources.scratch import materialized
 
 _BEFORE = (W.unboundedPreceding, -1)
-_SLICES = 256
+_FEWEST_SLICES = 16
 _ACCURACY = 10_000
 
 
@@ -48,9 +48,11 @@ def with_slice(stored: DataFrame, value_col: str, name: str = "_slice") -> DataF
     many rows each.
 
     ``stored`` is read twice, so it should be a written table, and its values should be distinct,
-    so that no value can overfill a slice. Only the slice bounds come to the driver.
+    so that no value can overfill a slice. There are as many slices as the session has shuffle
+    partitions; only their bounds come to the driver.
     """
-    marks = [i / _SLICES for i in range(1, _SLICES)]
+    slices = max(_FEWEST_SLICES, int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = [i / slices for i in range(1, slices)]
     found = stored.agg(F.percentile_approx(value_col, F.lit(marks), _ACCURACY)).first()[0]
     bounds = F.array(*[F.lit(float(b)) for b in found or []]).cast("array<double>")
     return stored.withColumn(name, F.size(F.filter(bounds, lambda b: b < F.col(value_col))))
@@ -83,7 +85,7 @@ def exact_percentiles(
     )
     inside = W.partitionBy("_slice").orderBy("_v").rowsBetween(*_BEFORE)
     ranked = sliced.withColumn("_lower", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    # One row per slice, so at most the fixed number of slices.
+    # One row per slice, so at most the session's number of shuffle partitions.
     placed = ranked.join(F.broadcast(starts), "_slice").withColumn(
         "_from", F.col("_start") + F.col("_lower")
     )

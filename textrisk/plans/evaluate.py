@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textrisk.functions.labels import CATEGORY_COLUMNS, first_present, with_truth
-from textrisk.functions.once import evaluated_once
 from textrisk.functions.risk import RiskConfig, ablated_risk, is_positive, over_threshold
 from textrisk.operators.checks import require_columns
 from textrisk.operators.joins import join_one_to_one
 from textrisk.operators.metrics import binary_metrics
 
+# The columns of the error table and the names of the ablation arms.
 ERROR_COLUMNS = (
     "Id",
     "text",
@@ -31,14 +31,16 @@ ABLATION_ARMS = ("A_ml_only", "B_heuristic_only", "C_ml_plus_heuristic", "D_full
 def with_outcome(predictions: DataFrame, truth: DataFrame, checked: bool = True) -> DataFrame:
     """Predictions with ``_target``, the 0/1 ``prediction`` and the category, if the truth has one.
 
-    ``checked`` raises unless both tables hold the same ids, once each.
+    ``checked`` raises unless both tables hold the same ids, once each. An unknown ground-truth
+    value raises wherever the target is used. Rows without a decision have no prediction; the
+    metrics count them as ``unscored_rows``.
     """
     require_columns(truth, ["Id"])
     category = first_present(truth, CATEGORY_COLUMNS)
     wanted = ["Id", "_target"] + ([category] if category else [])
     known = with_truth(truth).select(*wanted)
     out = join_one_to_one(predictions, known, "Id", checked=checked)
-    return out.withColumn("prediction", evaluated_once(is_positive(F.col("decision")), 0))
+    return out.withColumn("prediction", is_positive(F.col("decision")))
 
 
 def full_metrics(outcome: DataFrame) -> DataFrame:

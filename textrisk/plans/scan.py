@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from textrisk.functions import risk
 from textrisk.functions.normalize import with_normalized
-from textrisk.functions.once import evaluated_once
+from textrisk.functions.once import computed_once
 from textrisk.functions.risk import RiskConfig
 from textrisk.functions.rules import with_rule_hits
-from textrisk.operators.checks import require_columns, require_string_column
+from textrisk.operators.checks import require_columns, require_rows, require_string_column
 from textrisk.operators.models import Detector
 from textrisk.operators.ordering import with_row_index
 
@@ -25,10 +25,18 @@ def text_components(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _with_risk(df: DataFrame, detector: Detector, text_col: str, config: RiskConfig) -> DataFrame:
-    """Add the unrounded ``_ml`` and ``_risk``, and ``decision``. Null text gives nulls."""
+    """Add the unrounded ``_ml`` and ``_risk``, and ``decision``. Null text gives nulls.
+
+    A probability outside [0, 1], NaN or null for a known text fails the scan.
+    """
     out = detector.score(df, "normalized_text", "_ml")
-    known = F.col(text_col).isNotNull()
-    out = out.withColumn("_ml", evaluated_once(F.when(known, F.col("_ml")), 0.0))
+    ml = F.col("_ml").cast("double")
+    message = F.concat(F.lit(f"detector {detector.model_name} gave no probability: "), F.coalesce(ml.cast("string"), F.lit("null")))
+    checked = F.when(F.coalesce(ml.between(0.0, 1.0), F.lit(False)), ml).otherwise(
+        F.raise_error(message).cast("double")
+    )
+    out = out.withColumn("_ml", F.when(F.col(text_col).isNotNull(), checked))
+    out = computed_once(out, ["_ml"])
     scores = (F.col(c) for c in ("_ml", "heuristic_score", "unicode_score"))
     out = out.withColumn("_risk", risk.blended_risk(*scores, config))
     return out.withColumn("decision", risk.decision(F.col("_risk"), config))
@@ -133,11 +141,15 @@ def scan_batch(
     id_col: str = "Id",
     config: RiskConfig = RiskConfig(),
     order_by: tuple[str, ...] = (),
+    allow_empty: bool = False,
 ) -> DataFrame:
     """The flat prediction table, reasons as a JSON array.
 
-    Without an id column the row's position in the order of ``order_by`` takes its place.
+    Without an id column the row's position in the order of ``order_by`` takes its place. An
+    empty table is refused, by a look at its first row, unless ``allow_empty``; a stream never is.
     """
+    if not (allow_empty or df.isStreaming):
+        require_rows(df)
     if id_col not in df.columns:
         if not order_by:
             raise ValueError(f"input has no {id_col}; name the columns that order the rows")

@@ -17,14 +17,13 @@ _QUOTING = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 _VERBATIM = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """A parquet table. ``spread`` is for row-heavy work on inputs of fewer splits than cores.
+def read_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A parquet table in as many partitions as its files split into, unless the caller says so.
 
-    Large inputs have more splits than there are cores and are read as they are, unshuffled.
+    ``partitions`` shuffles the rows; it is meant for single small files, which do not split.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions) if partitions else df
 
 
 def read_csv(
@@ -60,8 +59,9 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 
 def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A small report (a bounded number of rows) as one JSON file."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """A small report (a bounded number of rows) as one JSON list, nulls included."""
+    rows = F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"})
+    df.agg(rows.alias("value")).coalesce(1).write.mode(mode).text(path)
 
 
 def write_document(spark: SparkSession, payload: dict, path: str, mode: str = "errorifexists") -> None:

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from textrisk.functions.risk import RiskConfig
 from textrisk.operators.models import Detector
 from textrisk.plans.scan import scan_batch
-from textrisk.sources.scratch import scratch_path
 
 
 def read_text_stream(
@@ -26,20 +25,24 @@ def scan_stream(
     stream: DataFrame,
     detector: Detector,
     sink: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     text_col: str = "text",
     id_col: str = "Id",
     config: RiskConfig = RiskConfig(),
     available_now: bool = True,
     interval: str = "30 seconds",
 ) -> StreamingQuery:
-    """Append flat predictions to parquet at ``sink``; each input file is scored exactly once."""
+    """Append flat predictions to parquet at ``sink``; each input file is scored exactly once.
+
+    ``checkpoint`` is the folder of the stream's progress. A restart needs the same one, and one
+    ``sink`` goes with one ``checkpoint``.
+    """
     scored = scan_batch(stream, detector, text_col, id_col, config)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return (
         scored.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "scan-stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start(sink)
     )

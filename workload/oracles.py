@@ -19,12 +19,12 @@ def _class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):04X}}}" for c in chars)
 
 
-_LEAD = (
-    "CASE doc_id % 16 "
-    + " ".join(f"WHEN {i} THEN {q(lead)}" for i, lead in enumerate(LEADS))
-    + " END"
-)
-OVERLAY = f'SELECT doc_id AS "Id", {_LEAD} || text AS text, lang FROM documents'
+def _lead(number: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN {q(lead)}" for i, lead in enumerate(LEADS))
+    return f"CASE ({number}) % {len(LEADS)} {whens} END"
+
+
+OVERLAY = f'SELECT doc_id AS "Id", {_lead("doc_id")} || text AS text, lang FROM documents'
 LABELED_OVERLAY = f"SELECT o.* FROM ({OVERLAY}) o JOIN labels l ON l.doc_id = o.\"Id\""
 
 # ---- rules in RE2: no look-around and an ASCII-only word boundary -------------------------
@@ -167,6 +167,7 @@ _RATIOS = f"""{_div('tn + tp', 'tn + fp + fn + tp')} AS accuracy,
   {_div('fp', 'fp + tn')} AS false_positive_rate,
   {_div('fn', 'fn + tp')} AS false_negative_rate"""
 
+_UNSCORED = "count(*) FILTER (target IS NULL OR prediction IS NULL) AS unscored_rows"
 _CELLS = """count(*) FILTER (target = 0 AND prediction = 0) AS tn,
   count(*) FILTER (target = 0 AND prediction = 1) AS fp,
   count(*) FILTER (target = 1 AND prediction = 0) AS fn,
@@ -192,9 +193,9 @@ def _scored_metrics(ctes: str, rows: str, key: str | None) -> str:
     shown = f"{k}, " if key else ""
     return f"""{ctes},
 keyed AS (SELECT *{'' if key else ', 1 AS one'} FROM {rows}),
-cells AS (SELECT {k}, {_CELLS} FROM keyed GROUP BY {k}),
+cells AS (SELECT {k}, {_CELLS}, {_UNSCORED} FROM keyed GROUP BY {k}),
 auc AS ({_auc('keyed', k)})
-SELECT {shown}tn, fp, fn, tp, {_RATIOS}, {_SUPPORT}, roc_auc FROM cells JOIN auc USING ({k})"""
+SELECT {shown}tn, fp, fn, tp, {_RATIOS}, {_SUPPORT}, unscored_rows, roc_auc FROM cells JOIN auc USING ({k})"""
 
 
 def _tied(factor: int = 37, modulus: int = 101) -> str:
@@ -254,6 +255,14 @@ _SPLIT = """SELECT CAST(doc_id AS VARCHAR) AS "Id", toxic AS target, CASE
   FROM labels"""
 
 
+def _projection(period: int) -> str:
+    weights = f"((i % {period}) * 2 - {period - 1})"
+    return (
+        f"list_sum(list_transform(embedding, lambda x, j: x::DOUBLE * {weights.replace('i', '(j - 1)')}"
+        f" / {period - 1}::DOUBLE))"
+    )
+
+
 def _known(spellings: dict[str, int]) -> str:
     return ", ".join(q(name) for name in spellings)
 
@@ -263,9 +272,12 @@ def _tree_hash(value: str) -> str:
 
 
 _LEAF = "d || ':' || n || ';'"
+_SIZED = " || ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    for c in ("doc_id", "text", "lang", "source", "n_chars")
+)
 _FINGERPRINT = f"""
-WITH rows AS (SELECT sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || length(text) || ':' || text
-    || length(lang) || ':' || lang) AS d FROM documents),
+WITH rows AS (SELECT sha256({_SIZED}) AS d FROM documents),
 digests AS (SELECT d, count(*) AS n FROM rows GROUP BY d),
 leaves AS (SELECT left(d, 6) AS p6, {_tree_hash(_LEAF)} AS h, sum(n) AS n FROM digests GROUP BY 1),
 branches AS (SELECT left(p6, 3) AS p3, {_tree_hash("p6 || h")} AS h, sum(n) AS n FROM leaves GROUP BY 1)
@@ -316,9 +328,11 @@ ORACLES = {
     "scan_batch_flat": _flat(),
     "scan_stream": _flat(),
     "scan_conversations": _flat(
-        "SELECT conv_id || '-' || turn AS \"Id\", text FROM conversations"
+        f"SELECT conv_id || '-' || turn AS \"Id\", {_lead('conv_id + turn')} || text AS text FROM conversations"
+    ),
+    "scan_pages": _flat(
+        f'SELECT page_id AS "Id", {_lead("page_id")} || html AS text FROM pages', "page_id"
     ),
-    "scan_pages": _flat('SELECT page_id AS "Id", html AS text FROM pages', "page_id"),
     "scan_nested": _scan(
         f"""\"Id\", decision, risk_level, risk_score, 'keyword_a' AS model,
   ml_score AS jailbreak_probability, heuristic_score AS injection_score,
@@ -332,7 +346,7 @@ ORACLES = {
     "rule_hits": _scan(
         f'"Id", {_listed_text("matched_rules")}, {_listed_text("rule_reasons")}'
     ),
-    "negated_exfil": f"""WITH t AS (SELECT "Id", lower(text) AS folded FROM ({OVERLAY}))
+    "negated_exfil": f"""{scan_ctes(OVERLAY)}, t AS (SELECT "Id", comparison_text AS folded FROM compared)
 SELECT "Id", ({family_sql(_EXFIL, 'folded')})::INT AS kept FROM t
 WHERE {hit_sql(_EXFIL.english, 'folded')} OR {hit_sql(_EXFIL.vietnamese, 'folded')}""",
     "heuristic_score": _scan('"Id", heuristic_score'),
@@ -345,8 +359,10 @@ WHERE {hit_sql(_EXFIL.english, 'folded')} OR {hit_sql(_EXFIL.vietnamese, 'folded
     "decision_counts": _scan(
         "decision, risk_level, count(*) AS rows", tail="GROUP BY decision, risk_level"
     ),
-    "id_fallback": 'SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) - 1 AS "Id" FROM conversations',
+    "id_fallback": 'SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS "Id" FROM conversations',
     "csv_roundtrip": f'SELECT CAST("Id" AS VARCHAR) AS "Id", text FROM ({OVERLAY})',
+    "report_roundtrip": """SELECT lang, source, count(*) AS rows,
+  max(CASE WHEN n_chars > 20000 THEN n_chars END) AS longest FROM documents GROUP BY lang, source""",
     "load_labeled": f'SELECT "Id", length(text) AS n_chars, label, target FROM ({_LABELED})',
     "null_report": """SELECT count(*) FILTER (d.doc_id IS NULL) AS null_doc_id,
   count(*) FILTER (text IS NULL) AS null_text, count(*) FILTER (quality IS NULL) AS null_quality,
@@ -381,14 +397,19 @@ FROM documents d LEFT JOIN ({_SPLIT}) s ON CAST(d.doc_id AS VARCHAR) = s."Id\"""
     "class_weights": """SELECT toxic AS target, count(*) AS rows,
   round(CAST(sum(count(*)) OVER () AS BIGINT) / (2.0::DOUBLE * count(*)), 9) AS weight FROM labels GROUP BY toxic""",
     "threshold_predict": f'SELECT "Id", score, (score >= {ML_THRESHOLD})::INT AS prediction FROM ({_tied()})',
-    "softmax_prob": """SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b))
+    "softmax_prob": f"""SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b))
   + exp(b - greatest(a, b))), 9) AS probability
-FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)""",
-    "binary_metrics": f"""SELECT tn, fp, fn, tp, {_RATIOS}, {_SUPPORT} FROM (
-  SELECT {_CELLS} FROM (SELECT target, (score >= 0.5)::INT AS prediction FROM ({_tied()})))""",
+FROM (SELECT vec_id, {_projection(5)} AS a, {_projection(7)} AS b FROM embeddings)""",
+    "metrics_unscored": f"""SELECT tn, fp, fn, tp, {_RATIOS}, {_SUPPORT}, unscored_rows FROM (
+  SELECT {_CELLS}, {_UNSCORED} FROM (SELECT target, (score >= 0.5)::INT AS prediction
+    FROM documents LEFT JOIN ({_tied()}) t ON t."Id" = CAST(doc_id AS VARCHAR)))""",
+    "truth_unknown": f"""SELECT DISTINCT role AS label FROM conversations
+WHERE role NOT IN ({_known(labels.TRUTH_LABELS)})""",
+    "binary_metrics": f"""SELECT tn, fp, fn, tp, {_RATIOS}, {_SUPPORT}, unscored_rows FROM (
+  SELECT {_CELLS}, {_UNSCORED} FROM (SELECT target, (score >= 0.5)::INT AS prediction FROM ({_tied()})))""",
     "roc_auc": f"""WITH keyed AS (
   SELECT 'labels' AS source, target, score FROM ({_tied()})
-  UNION ALL SELECT 'embeddings', (label < 5)::INT, embedding[1]::DOUBLE FROM embeddings)
+  UNION ALL SELECT 'embeddings', (label < 5)::INT, round({_projection(5)}, 9) FROM embeddings)
 SELECT source, roc_auc, support_benign, support_jailbreak FROM ({_auc('keyed', 'source')}) JOIN (
   SELECT source, count(*) FILTER (target = 0) AS support_benign,
     count(*) FILTER (target = 1) AS support_jailbreak FROM keyed GROUP BY source) USING (source)""",

@@ -31,6 +31,12 @@ LEADS = (
 )
 
 
+def partitions(spark: SparkSession) -> int | None:
+    """The caller's ``spark.textrisk.partitions``, for tables that are single small files."""
+    wanted = spark.conf.get("spark.textrisk.partitions", None)
+    return int(wanted) if wanted else None
+
+
 def lead_in(doc_id: Column) -> Column:
     out = F.lit("")
     for i, lead in enumerate(LEADS):
@@ -41,7 +47,7 @@ def lead_in(doc_id: Column) -> Column:
 def overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``Id, text, lang`` of every document, lead-in included."""
     doc_id = F.col("doc_id")
-    documents = read_parquet(spark, f"{sf_dir}/documents.parquet", spread=True)
+    documents = read_parquet(spark, f"{sf_dir}/documents.parquet", partitions(spark))
     return documents.select(
         doc_id.alias("Id"), F.concat(lead_in(doc_id), F.col("text")).alias("text"), "lang"
     )

@@ -30,10 +30,17 @@ from textrisk.operators.ordering import exact_percentiles, with_row_index
 from textrisk.plans import evaluate, train
 from textrisk.plans.scan import compare_detectors, scan, scan_batch, score_components
 from textrisk.sources.scratch import materialized, scratch_path
-from textrisk.sources.tables import load_labeled, read_csv, read_parquet, write_csv
+from textrisk.sources.tables import (
+    load_labeled,
+    read_csv,
+    read_parquet,
+    read_report,
+    write_csv,
+    write_report,
+)
 from textrisk.sources import schemas
 from textrisk.streaming.scan_stream import read_text_stream, scan_stream
-from workload.overlay import lead_in, overlaid
+from workload.overlay import lead_in, overlaid, partitions
 
 CONFIG = RiskConfig()
 # Stand-in detectors: a probability by keyword.
@@ -93,7 +100,8 @@ def negated_exfil(spark, sf_dir):
     """Documents with an exfiltration phrase, and whether it survives the negation check."""
     family = next(f for f in rules.RULE_FAMILIES if f.rule_id == rules.NEGATABLE_RULE)
     text = F.col("folded")
-    out = overlaid(spark, sf_dir).select("Id", rules.fold_case(F.col("text")).alias("folded"))
+    compared = normalize.with_normalized(overlaid(spark, sf_dir))
+    out = compared.select("Id", F.replace("comparison_text", F.lit("ı"), F.lit("i")).alias("folded"))
     found = rules.pattern_hit(text, family.english) | rules.pattern_hit(text, family.vietnamese)
     kept = rules.family_hit(text, family)
     return out.filter(found).select("Id", kept.cast("int").alias("kept"))
@@ -152,31 +160,33 @@ def scan_batch_flat(spark, sf_dir):
 
 
 def scan_conversations(spark, sf_dir):
-    source = read_parquet(spark, f"{sf_dir}/conversations.parquet", spread=True)
-    return scan_batch(
-        source.withColumn("Id", F.concat_ws("-", "conv_id", "turn")), DETECTOR
+    source = read_parquet(spark, f"{sf_dir}/conversations.parquet", partitions(spark))
+    turns = source.select(
+        F.concat_ws("-", "conv_id", "turn").alias("Id"),
+        F.concat(lead_in(F.col("conv_id") + F.col("turn")), F.col("text")).alias("text"),
     )
+    return scan_batch(turns, DETECTOR)
 
 
 def scan_pages(spark, sf_dir):
-    source = read_parquet(spark, f"{sf_dir}/pages.parquet", spread=True)
-    return scan_batch(source, DETECTOR, text_col="html", id_col="page_id")
+    source = read_parquet(spark, f"{sf_dir}/pages.parquet", partitions(spark))
+    pages = source.select("page_id", F.concat(lead_in(F.col("page_id")), F.col("html")).alias("html"))
+    return scan_batch(pages, DETECTOR, text_col="html", id_col="page_id")
 
 
 def scan_as_stream(spark, sf_dir):
-    """The documents as a file stream, scored micro-batch by micro-batch into parquet."""
-    schema = table(spark, sf_dir, "documents").schema
-    stream = read_text_stream(spark, f"{sf_dir}/documents*.parquet", schema)
-    source = stream.select(
-        F.col("doc_id").alias("Id"),
-        F.concat(lead_in(F.col("doc_id")), F.col("text")).alias("text"),
-    )
-    sink = scratch_path(spark, "scan-stream-out")
-    query = scan_stream(source, DETECTOR, sink)
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
-    return spark.read.parquet(sink)
+    """The documents as a stream of files that arrive in two sets; the stream stops after the
+    first and is started again on its checkpoint for the second."""
+    folder = scratch_path(spark, "scan-stream")
+    documents = overlaid(spark, sf_dir).select("Id", "text")
+    stream = read_text_stream(spark, f"{folder}/in", documents.schema)
+    for turn in (0, 1):
+        documents.where(F.col("Id") % 2 == turn).write.mode("append").parquet(f"{folder}/in")
+        query = scan_stream(stream, DETECTOR, f"{folder}/out", f"{folder}/state")
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+    return spark.read.parquet(f"{folder}/out")
 
 
 def decision_counts(spark, sf_dir):
@@ -184,7 +194,7 @@ def decision_counts(spark, sf_dir):
 
 
 def id_fallback(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return with_row_index(turns, ("conv_id", "turn"), "Id")
 
 
@@ -195,6 +205,16 @@ def csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, schemas.UNLABELED)
 
 
+def report_roundtrip(spark, sf_dir):
+    """The counts per language and source as a written report, read back."""
+    path = scratch_path(spark, "report")
+    counts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(
+        F.count("*").alias("rows"), F.max(F.when(F.col("n_chars") > 20_000, F.col("n_chars"))).alias("longest")
+    )
+    write_report(counts, path)
+    return read_report(spark, path, counts.schema)
+
+
 # ---- checks, labels, splits ---------------------------------------------------------------
 
 
@@ -271,11 +291,22 @@ def truth_labels(spark, sf_dir):
     return labels.with_truth(rows, "target").select(F.col("doc_id").alias("Id"), "target")
 
 
+def truth_unknown(spark, sf_dir):
+    """Ground-truth values outside the domain."""
+    return checks.unknown_labels(table(spark, sf_dir, "conversations"), "role", labels.TRUTH_LABELS)
+
+
+def metrics_unscored(spark, sf_dir):
+    """Metrics of every document: those without a label, and null scores, are in no cell."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Id"))
+    rows = documents.join(_tied_scores(spark, sf_dir).drop("doc_id"), "Id", "left")
+    prediction = risk.over_threshold(F.col("score"), 0.5)
+    return _rounded(metrics.binary_metrics(rows.withColumn("prediction", prediction)))
+
+
 def dataset_summary(spark, sf_dir):
     rows = _labeled(spark, sf_dir)
-    return profile.dataset_summary(
-        load_labeled(rows, checked=False), table(spark, sf_dir, "documents")
-    )
+    return profile.dataset_summary(load_labeled(rows), table(spark, sf_dir, "documents"))
 
 
 def label_distribution(spark, sf_dir):
@@ -283,7 +314,7 @@ def label_distribution(spark, sf_dir):
 
 
 def fingerprint_documents(spark, sf_dir):
-    return fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
+    return fingerprint(table(spark, sf_dir, "documents"))
 
 
 def class_weights(spark, sf_dir):
@@ -303,13 +334,19 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r9(c).alias(c) if c in ratios else F.col(c) for c in df.columns])
 
 
+def _projection(vector, period):
+    """A fixed projection of all components: weights run through -1 to 1 in ``period`` steps."""
+    weights = F.transform(vector, lambda x, i: x.cast("double") * ((i % period) * 2 - (period - 1)) / (period - 1.0))
+    return F.aggregate(weights, F.lit(0.0), lambda total, x: total + x)
+
+
 def threshold_predict(spark, sf_dir):
     prediction = risk.over_threshold(F.col("score"), ML_THRESHOLD)
     return _tied_scores(spark, sf_dir).select("Id", "score", prediction.alias("prediction"))
 
 
 def softmax_prob(spark, sf_dir):
-    logits = F.slice("embedding", 1, 2).cast("array<double>")
+    logits = F.array(*(_projection(F.col("embedding"), period) for period in (5, 7)))
     probability = r9(risk.softmax_positive(logits))
     return table(spark, sf_dir, "embeddings").select("vec_id", probability.alias("probability"))
 
@@ -327,7 +364,7 @@ def roc_auc(spark, sf_dir):
     untied = table(spark, sf_dir, "embeddings").select(
         F.lit("embeddings").alias("source"),
         (F.col("label") < 5).cast("int").alias("target"),
-        F.col("embedding")[0].cast("double").alias("score"),
+        r9(_projection(F.col("embedding"), 5)).alias("score"),
     )
     rows = tied.unionAll(untied).withColumn("prediction", risk.over_threshold(F.col("score"), 0.5))
     out = metrics.binary_metrics(rows, score="score", by=["source"])
@@ -385,7 +422,7 @@ def _predictions(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir):
-    return evaluate.with_outcome(_predictions(spark, sf_dir), _truth(spark, sf_dir), checked=False)
+    return evaluate.with_outcome(_predictions(spark, sf_dir), _truth(spark, sf_dir))
 
 
 def eval_join(spark, sf_dir):
@@ -417,7 +454,7 @@ def category_breakdown(spark, sf_dir):
 
 def _errors(spark, sf_dir):
     return evaluate.error_table(
-        _evaluated(spark, sf_dir), _labeled_inputs(spark, sf_dir), checked=False
+        _evaluated(spark, sf_dir), _labeled_inputs(spark, sf_dir)
     ).withColumnRenamed("_target", "target")
 
 
@@ -446,7 +483,7 @@ def model_compare(spark, sf_dir):
 
 def _term_summary(spark, sf_dir, spec):
     """Every kept term with its document weights summed over all documents."""
-    documents = read_parquet(spark, f"{sf_dir}/documents.parquet", spread=True)
+    documents = read_parquet(spark, f"{sf_dir}/documents.parquet", partitions(spark))
     vocab = materialized(vocabulary(documents, spec), f"vocabulary-{spec.name}")
     block = TfidfBlock.from_vocabulary(vocab, spec)
     weights = term_weights(tfidf_vectors(documents, [block], out_col="v"), "v")
@@ -506,8 +543,8 @@ def train_model_b(spark, sf_dir):
 def model_report(spark, sf_dir):
     """Reports of two fits in one registry, the selected one marked."""
     first = train.train_embeddings(_vectors(spark, sf_dir), name="model_a").report
-    halves = _vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 32))
-    second = train.train_embeddings(halves, name="model_b").report
+    squares = _vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: x * x))
+    second = train.train_embeddings(squares, name="model_b").report
     return train.registry(first.unionAll(second))
 
 
@@ -553,6 +590,7 @@ QUERIES = {
     "decision_counts": decision_counts,
     "id_fallback": id_fallback,
     "csv_roundtrip": csv_roundtrip,
+    "report_roundtrip": report_roundtrip,
     "load_labeled": load_labeled_table,
     "null_report": null_report,
     "unknown_labels": unknown_labels,
@@ -561,6 +599,8 @@ QUERIES = {
     "split_check": split_check,
     "score_range_violations": score_range_violations,
     "truth_labels": truth_labels,
+    "truth_unknown": truth_unknown,
+    "metrics_unscored": metrics_unscored,
     "dataset_summary": dataset_summary,
     "label_distribution": label_distribution,
     "fingerprint": fingerprint_documents,
