@@ -10,8 +10,9 @@ are expected for the least similar pair of the band. All are missed with a proba
 exp(-AGREEMENTS), for pairs just at the threshold; more similar ones agree far more often.
 
 Documents of equal sets are one throughout. Those that agree on a part are grouped by a sort,
-in blocks. First each member of a group is verified against the group's smallest member and the
-links are joined up; a group that then lies in one component is done. Of the others, members of
+in blocks. First each member of a group is verified against the group's center, and the links are
+joined up; groups choose their centers by ``CENTERS`` different orders, so that one odd center
+does no harm. A group that then lies in one component is done. Of the others, members of
 different components are compared block by block: a narrow bit sketch, whose Hamming distance
 bounds the symmetric difference from below, leaves few pairs to verify. So a large group of
 copies or near copies costs a number of rows in proportion to its size.
@@ -36,6 +37,7 @@ from textrisk.llm.components import connected_components
 WORDS = 5
 AGREEMENTS = 16
 BLOCK = 256  # members of a group that are kept in one row
+CENTERS = 8
 SKETCH_BITS = 2048  # of the narrow sketch
 # Representatives of candidate sets that are broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -174,8 +176,9 @@ def _codes_table(docs: DataFrame, text_col: str, num: int, den: int) -> DataFram
 
 def _groups(codes: DataFrame) -> DataFrame:
     """``code, center, block, members``: the sets that share a code, where there are several, in
-    blocks; the center is the first of them. Groups of one block that have the same members are
-    one. Rows come through a sort that spills, and a task holds one block."""
+    blocks; the center is the first of them in one of ``CENTERS`` orders. Groups of one block
+    that have the same members are one. Rows come through a sort that spills, and a task holds
+    one block."""
     schema = T._parse_datatype_string("code long, center long, block int, members array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +186,11 @@ def _groups(codes: DataFrame) -> DataFrame:
         code, center, block, members = None, None, 0, []
 
         def close():
-            if block or len(members) > 1:
-                name = code if block or len(members) == BLOCK else xxhash.xxh3_64_intdigest(str(members)) - (1 << 63)
-                out.append((name, center, block, members))
+            if block or len(members) == BLOCK:
+                out.append((code, center, block, members))
+            elif len(members) > 1:
+                listed = sorted(members)
+                out.append((xxhash.xxh3_64_intdigest(str(listed)) - (1 << 63), center, 0, listed))
 
         for batch in batches:
             codes, sets = (c.to_numpy() for c in batch.columns)
@@ -210,7 +215,8 @@ def _groups(codes: DataFrame) -> DataFrame:
         if out:
             yield as_batch(list(zip(*out, strict=True)), arrow)
 
-    ordered = codes.repartition("code").sortWithinPartitions("code", "set")
+    order = F.xxhash64("set", F.pmod("code", F.lit(CENTERS)))
+    ordered = codes.repartition("code").sortWithinPartitions("code", order, "set")
     return ordered.mapInArrow(run, schema).dropDuplicates(["code", "block"])
 
 
@@ -284,15 +290,17 @@ def _across(groups: DataFrame, labels: DataFrame, shingles: DataFrame, sizes: Da
         for row in range(batch.num_rows):
             a, a_label, a_size, a_bits = arrays(batch.column(0), row)
             b, b_label, b_size, b_bits = arrays(batch.column(1), row)
-            for i in range(len(a)):
-                small, large = np.minimum(a_size[i], b_size), np.maximum(a_size[i], b_size)
-                may = (a[i] != b) & (a_label[i] != b_label) & (den * small >= num * large)
-                at = np.flatnonzero(may)
-                if len(at):
-                    differ = np.bitwise_count(a_bits[i] ^ b_bits[at]).sum(axis=1, dtype=np.int64)
-                    at = at[differ * (den + num) <= (a_size[i] + b_size[at]) * (den - num)]
-                if len(at):
-                    yield [np.minimum(a[i], b[at]), np.maximum(a[i], b[at])]
+            one, other = a_size[:, None], b_size[None, :]
+            may = (a_label[:, None] != b_label[None, :]) & (den * np.minimum(one, other) >= num * np.maximum(one, other))
+            i, j = np.nonzero(may)
+            for at in range(0, len(i), 16_384):
+                p, q = i[at : at + 16_384], j[at : at + 16_384]
+                differ = np.bitwise_count(a_bits[p] ^ b_bits[q]).sum(axis=1, dtype=np.int64)
+                near = differ * (den + num) <= (a_size[p] + b_size[q]) * (den - num)
+                if near.any():
+                    p, q = a[p[near]], b[q[near]]
+                    pairs = np.unique(np.column_stack([np.minimum(p, q), np.maximum(p, q)]), axis=0)
+                    yield [pairs[:, 0], pairs[:, 1]]
 
     return map_batches(met.select("one", "other"), rows_of, "a long, b long").distinct()
 
