@@ -296,12 +296,12 @@ def test_toxicity_finds_misspelt_words(documents, spark):
     insults = ["blockhead", "numbskull", "dunderhead"]
     texts, labels = [], []
     for i in range(400):
-        words = [rng.choice(WORDS) + rng.choice("abcdef") for _ in range(rng.randrange(5, 200))]
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(5, 120))]
         if toxic := i % 2:
             words[rng.randrange(len(words))] = rng.choice(insults)
         texts.append(" ".join(words))
         labels.append(toxic)
-    tests = ["w1a w2b blokhead w3c", "w1a w2b numbskulls w3c", "w1a w2b w9c w3c", "", None, "DUNDERHEAD " * 30_000]
+    tests = ["w1 w2 blokhead w3", "w1 w2 numbskulls w3", "w1 w2 w9 w3", "", None, "DUNDERHEAD " * 30_000]
     docs, table = labelled(documents, spark, texts + tests, labels, "toxic")
     got = scores(docs, toxicity.toxicity_score(docs, table, fold("doc_id", 4) != 2))
     held = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 4 == 2]

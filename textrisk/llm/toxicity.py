@@ -32,6 +32,7 @@ TRAINING_ROWS_PER_CLASS = 2_000
 EPOCHS = 60
 RATE = 0.1
 LEAST_GRADIENT = 1e-4  # entries with smaller ones, as those of a rare word, hardly move
+CERTAIN = 2.0  # margins beyond this say no more; misspelt words reach it less far than known ones
 SMOOTHING = 0.5  # texts of either label that are added to those that hold a word
 _WORDS = re.compile(r"\w+").findall
 
@@ -84,7 +85,7 @@ class ToxicityModel:
         return dict(zip(new, means.tolist(), strict=True))
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the margin of its most toxic word, and the logarithm of the share of its
+        """Of each text: the margin of its most toxic word, up to ``CERTAIN``, and the logarithm of the share of its
         words that are toxic by their probabilities. A text without words shows nothing."""
         words, flat, sizes = words_of(texts)
         best, share = np.full(len(texts), self.bias), np.full(len(texts), logistic(np.array(self.bias)))
@@ -95,7 +96,7 @@ class ToxicityModel:
             heads = (np.cumsum(sizes) - sizes)[some]
             best[some] = np.maximum.reduceat(margins, heads)
             share[some] = np.add.reduceat(logistic(margins), heads) / sizes[some]
-        return np.column_stack([best, np.log(share)])
+        return np.column_stack([np.minimum(best, CERTAIN), np.log(share)])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return logistic(self.evidence(texts) @ self.curve[:2] + self.curve[2])
