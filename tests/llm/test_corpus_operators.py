@@ -4,6 +4,7 @@ import gzip
 import io
 import math
 import random
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -304,7 +305,7 @@ def test_toxicity_finds_misspelt_words(documents, spark):
     tests = ["w1 w2 blokhead w3", "w1 w2 numbskulls w3", "w1 w2 w9 w3", "", None, "DUNDERHEAD " * 30_000]
     docs, table = labelled(documents, spark, texts + tests, labels, "toxic")
     got = scores(docs, toxicity.toxicity_score(docs, table, fold("doc_id", 4) != 2))
-    held = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 4 == 2]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((got[i] >= 0.3) == labels[i] for i in held) >= 0.95 * len(held)
     assert [got[400 + i] >= 0.3 for i in range(6)] == [True, True, False, False, False, True]
     assert got[403] == got[404] and all(0 <= s <= 1 for s in got.values())
@@ -323,7 +324,7 @@ def test_quality_learns_from_allowed_rows_only(documents, spark):
     allowed = fold("doc_id", 5) != 0
     docs, table = labelled(documents, spark, [*texts, "", None, "### " * 40_000], labels, "quality")
     one = scores(docs, quality.quality_score(docs, table, allowed))
-    held = [i for i in range(300) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((one[i] >= 0.3) == labels[i] for i in held) >= 0.95 * len(held)
     assert one[300] == one[301] and all(0 <= s <= 1 for s in one.values())
     flipped = [1 - y if i in set(held) else y for i, y in enumerate(labels)]

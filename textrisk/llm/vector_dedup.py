@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from textrisk.llm.common import as_batch, field_type, map_batches, small_batches, stored
+from textrisk.llm.common import as_batch, map_batches, small_batches, stored
 from textrisk.llm.components import connected_components
 
 PROJECTIONS = 20

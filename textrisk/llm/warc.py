@@ -155,30 +155,48 @@ def write_archives(
 # ---- reading ------------------------------------------------------------------------------
 
 
-def members(source) -> Iterator[Iterator[bytes]]:
+class _Source:
+    """A stream of compressed bytes; what a member did not use is read again."""
+
+    def __init__(self, stream):
+        self._stream, self._left = stream, b""
+
+    def read(self) -> bytes:
+        data, self._left = self._left or self._stream.read(READ_BYTES), b""
+        return data
+
+    def give_back(self, data: bytes) -> None:
+        self._left = data
+
+    def at_end(self) -> bool:
+        self._left = self.read()
+        return not self._left
+
+
+def _inflated(source: _Source) -> Iterator[bytes]:
+    """The pieces of one gzip member."""
+    inflate = zlib.decompressobj(31)
+    while not inflate.eof:
+        data = source.read()
+        if not data:
+            raise BrokenArchive("the archive ends inside a member")
+        try:
+            piece = inflate.decompress(data, READ_BYTES)
+        except zlib.error as problem:
+            raise BrokenArchive(f"a member cannot be inflated: {problem}") from problem
+        source.give_back(inflate.unused_data if inflate.eof else inflate.unconsumed_tail)
+        if piece:
+            yield piece
+
+
+def members(stream) -> Iterator[Iterator[bytes]]:
     """Of a stream of gzip members: for each, an iterator of its inflated pieces.
 
     Each member must be used up before the next is asked for.
     """
-    waiting = [source.read(READ_BYTES)]
-
-    def pieces() -> Iterator[bytes]:
-        inflate = zlib.decompressobj(31)
-        while not inflate.eof:
-            data = waiting[0] or source.read(READ_BYTES)
-            waiting[0] = b""
-            if not data:
-                raise BrokenArchive("the archive ends inside a member")
-            try:
-                piece = inflate.decompress(data, READ_BYTES)
-            except zlib.error as problem:
-                raise BrokenArchive(f"a member cannot be inflated: {problem}") from problem
-            waiting[0] = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
-            if piece:
-                yield piece
-
-    while waiting[0] or (waiting.__setitem__(0, source.read(READ_BYTES)) or waiting[0]):
-        yield pieces()
+    source = _Source(stream)
+    while not source.at_end():
+        yield _inflated(source)
 
 
 def _headers(lines: bytes) -> dict[str, str]:
