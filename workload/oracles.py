@@ -317,6 +317,22 @@ _CHAR_TERMS = r"""
   FROM sized WHERE length(w) >= n"""
 
 
+_NOT_BLANK = (
+    r"[^\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+
+
+def _kept_terms(name: str, terms: str, max_df: float, max_features: int) -> str:
+    """``{name}_kept``: the selected terms; ``{name}_found``: how many of them each row holds."""
+    source = f"(SELECT \"Id\" AS doc_id, text FROM ({OVERLAY}))"
+    spread = terms.replace("FROM documents", f"FROM {source}").replace(r"'\S+'", q(_NOT_BLANK))
+    return f"""{name}_tf AS (SELECT doc_id, term, count(*) AS tf FROM ({spread}) GROUP BY doc_id, term),
+{name}_kept AS (SELECT term FROM {name}_tf GROUP BY term
+  HAVING count(*) >= 2 AND count(*) <= {max_df}::DOUBLE * (SELECT count(*) FROM documents)
+  ORDER BY sum(tf) DESC, term LIMIT {max_features}),
+{name}_found AS (SELECT doc_id, count(*) AS n FROM {name}_tf JOIN {name}_kept USING (term) GROUP BY doc_id)"""
+
+
 def _listed_text(column: str) -> str:
     return f"array_to_string({column}, '|') AS {column}"
 
@@ -449,6 +465,11 @@ SELECT a."Id", a.ml_score AS ml_score_a, a.risk_score AS risk_score_a, a.decisio
   (a.decision <> b.decision)::INT AS disagrees FROM a JOIN b ON a."Id" = b."Id\"""",
     "tfidf_word": _term_summary(_WORD_TERMS, 0.995, 80_000),
     "tfidf_char": _term_summary(_CHAR_TERMS, 1.0, 120_000),
+    "feature_union": f"""WITH {_kept_terms('word', _WORD_TERMS, 0.995, 80_000)},
+{_kept_terms('chars', _CHAR_TERMS, 1.0, 120_000)}
+SELECT d.doc_id AS "Id", CAST(coalesce(w.n, 0) + coalesce(c.n, 0) + 1 AS INT) AS terms,
+  CAST((SELECT count(*) FROM word_kept) + (SELECT count(*) FROM chars_kept) + 1 AS INT) AS dimensions
+FROM documents d LEFT JOIN word_found w ON w.doc_id = d.doc_id LEFT JOIN chars_found c ON c.doc_id = d.doc_id""",
     "predict_batch": """SELECT vec_id, round(1 / (1 + exp(-list_dot_product(
   list_transform(embedding, lambda x: x::DOUBLE),
   list_transform(range(0, 64), lambda i: ((i % 7 - 3) / 10.0)::DOUBLE)))), 9) AS probability FROM embeddings""",
