@@ -381,7 +381,7 @@ def test_classifier_queries_on_held_out_rows(spark, duck, sf_dir):
     for name, column in (("op4_quality", "quality"), ("op7_toxicity", "toxic")):
         label = dict(duck.sql(f"SELECT doc_id, {column} FROM labels").fetchall())
         rows = QUERIES[name](spark, sf_dir).collect()
-        assert len(rows) == duck.sql("SELECT count(*) FROM documents").fetchone()[0]
+        assert len(rows) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
         held = [r for r in rows if r["held_out"] and r["doc_id"] in label]
         assert held and all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
         assert sum(r["predicted"] == label[r["doc_id"]] for r in held) >= 0.75 * len(held)
