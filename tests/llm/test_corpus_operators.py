@@ -377,14 +377,20 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     )
 
 
-def test_classifier_queries_on_held_out_rows(spark, duck, sf_dir):
+def test_classifier_queries_on_held_out_rows(spark, sf_dir):
+    """On the next larger tables: the smallest have too few labelled rows to learn from."""
+    import duckdb
+
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    connection = duckdb.connect()
+    (n,) = connection.execute(f"SELECT count(*) FROM '{folder}/documents.parquet'").fetchone()
     for name, column in (("op4_quality", "quality"), ("op7_toxicity", "toxic")):
-        label = dict(duck.sql(f"SELECT doc_id, {column} FROM labels").fetchall())
-        rows = QUERIES[name](spark, sf_dir).collect()
-        assert len(rows) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+        label = dict(connection.execute(f"SELECT doc_id, {column} FROM '{folder}/labels.parquet'").fetchall())
+        rows = QUERIES[name](spark, folder).collect()
+        assert len(rows) == n
         held = [r for r in rows if r["held_out"] and r["doc_id"] in label]
         assert held and all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
-        assert sum(r["predicted"] == label[r["doc_id"]] for r in held) >= 0.75 * len(held)
+        assert sum(r["predicted"] == label[r["doc_id"]] for r in held) >= 0.8 * len(held)
 
 
 # ---- the pipeline -------------------------------------------------------------------------
