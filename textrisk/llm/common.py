@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from textrisk.sources.scratch import shared_folder
+from textrisk.sources.scratch import scratch_path
 
 # Rows that go to Python at once. Texts may be very long, and each executor has little memory.
 BATCH_ROWS = 512
@@ -32,9 +31,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage: a lost executor costs no second run, and what several readers see is the
-    one committed result.
+    one committed result. ``textrisk.sources.scratch.release`` deletes all such tables, ``release``
+    those given.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path

@@ -10,6 +10,7 @@ from textrisk.llm import (
     fingerprints,
     jaccard_join,
     line_dedup,
+    mixing,
     packing,
     quality,
     token_counts,
@@ -22,6 +23,7 @@ from textrisk.llm.training import fold
 
 CONTEXT_TOKENS = 2048
 ACCEPTED = 0.3  # scores from which on a label is predicted
+LABELLED_GOOD, LABELLED_POOR = 2.0, 0.5  # weights in the mix; documents without a label weigh 1
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +89,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document in a mix of 150 % of all words, drawn by labelled quality."""
+    labels = read_table(spark, sf_dir, "labels")
+    weight = F.when(F.col("quality") == 1, LABELLED_GOOD).when(F.col("quality") == 0, LABELLED_POOR)
+    weights = labels.select("doc_id", weight.alias("weight")).where("weight IS NOT NULL")
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"), weights)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _predicted() -> Column:
     return F.when(F.col("score") >= ACCEPTED, 1).otherwise(0).alias("predicted")
 
@@ -104,6 +115,7 @@ QUERIES = {
         op8_fingerprints,
         op9_token_counts,
         op10_packing,
+        op13_mixing,
     )
 }
 
@@ -138,6 +150,45 @@ ORACLES = {
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
         FROM documents d LEFT JOIN kept k USING (doc_id)
     """,
+    "op13_mixing": f"""
+        WITH sized AS (
+            SELECT doc_id, source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+            FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS part
+            FROM sized GROUP BY source
+        ), stops AS (
+            SELECT sum(source_size) OVER () AS total, sum(part) OVER () AS parts,
+                   coalesce(sum(source_size) OVER before, 0) AS stopped, coalesce(sum(part) OVER before, 0) AS gone
+            FROM sources WINDOW before AS (ORDER BY source_size / part, source
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), level AS (
+            SELECT max((1.5::DOUBLE * total::DOUBLE - 2 * stopped::DOUBLE) / (parts - gone)::DOUBLE) AS level FROM stops
+        ), budgets AS (
+            SELECT source, source_size, CASE WHEN 2 * source_size < level * part THEN 2 * source_size::DOUBLE
+                                             ELSE level * part END AS target
+            FROM sources, level
+        ), weights AS (
+            SELECT doc_id, max(CASE quality WHEN 1 THEN {LABELLED_GOOD}::DOUBLE ELSE {LABELLED_POOR}::DOUBLE END) AS weight
+            FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
+        ), keyed AS (
+            SELECT d.*, b.source_size, b.target,
+                   CASE WHEN b.source_size > 0 THEN floor(b.target / b.source_size)::BIGINT ELSE 0 END AS epochs,
+                   -ln((('0x' || substr(md5('{mixing.SEED}:' || d.doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 52)::DOUBLE)
+                       / coalesce(w.weight, 1) AS key
+            FROM sized d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN weights w USING (doc_id)
+        ), summed AS (
+            SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM keyed
+        )
+        SELECT doc_id, size, source_size, target,
+               (epochs * size + greatest(0, least(size, floor(target - epochs * source_size + 0.5)::BIGINT - before)))::BIGINT
+                   AS taken
+        FROM summed
+    """,
     "op1_jaccard_join": """
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
