@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -13,6 +15,8 @@ from textrisk.sources.scratch import scratch_path
 
 # Rows that go to Python at once. Texts may be very long, and each executor has little memory.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
+NULL_PARTS = 64
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,30 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Bound the rows and bytes of Arrow batches of what is run inside; settings come back after."""
+    wanted = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": size}
+    before = {}
+    for name, most in wanted.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        before[key] = spark.conf.get(key, None)
+        now = int(before[key] or 0) if str(before[key] or 0).lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def null_part(key: str, spread: str) -> Column:
+    """0 where there is a key, else a part number by another column, for joins in which rows without
+    a key meet nothing but would all go to one task."""
+    return F.when(F.col(key).isNull(), 1 + F.pmod(F.col(spread), F.lit(NULL_PARTS))).otherwise(0).cast("int")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back.
 

@@ -19,15 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import stored
+from textrisk.llm.common import null_part, stored
 from textrisk.operators.ordering import with_row_index
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
 # Rows of about 100 bytes, without texts, that one sorted range holds.
 RANGE_ROWS = 1_000_000
-# Rows without an id cannot be weighted; they pass the join of weights in so many parts.
-NULL_PARTS = 64
 
 _SOURCE = ["no_source", "source"]
 
@@ -78,13 +76,12 @@ def source_targets(sources: DataFrame, cycle: Sequence[int], share: float, most:
 def _with_weights(rows: DataFrame, weights: DataFrame | None, id_col: str, weight_col: str) -> DataFrame:
     if weights is None:
         return rows.withColumn("weight", F.lit(1.0))
-    part = F.when(F.col("id").isNull(), F.pmod("mark", F.lit(NULL_PARTS)) + 1).otherwise(0).alias("id_part")
     known = weights.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.col(weight_col).cast("double")).alias("weight")
     )
-    # Rows without an id are spread by their text and meet no weight.
-    joined = rows.select("*", part).join(known.withColumn("id_part", F.lit(0).cast("bigint")), ["id", "id_part"], "left")
-    return joined.withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop("id_part")
+    apart = rows.withColumn("apart", null_part("id", "mark"))
+    joined = apart.join(known.withColumn("apart", F.lit(0)), ["id", "apart"], "left")
+    return joined.withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop("apart")
 
 
 def mix_sources(

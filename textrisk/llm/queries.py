@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from textrisk.llm import (
     bpe,
+    filter_audit,
     fingerprints,
+    hard_negatives,
     jaccard_join,
     line_dedup,
     mixing,
@@ -89,6 +91,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, source by source, in all their orders."""
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, a seventh of the labels moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document in a mix of 150 % of all words, drawn by labelled quality."""
     labels = read_table(spark, sf_dir, "labels")
@@ -115,6 +129,8 @@ QUERIES = {
         op8_fingerprints,
         op9_token_counts,
         op10_packing,
+        op11_filter_audit,
+        op12_hard_negatives,
         op13_mixing,
     )
 }
@@ -150,6 +166,73 @@ ORACLES = {
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
         FROM documents d LEFT JOIN kept k USING (doc_id)
     """,
+    "op11_filter_audit": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), firsts AS (
+            SELECT text, min(doc_id) AS first FROM texts GROUP BY text
+        ), marked AS (
+            SELECT part,
+                   CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text)
+                           THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails,
+                   coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS toxic
+            FROM texts JOIN firsts USING (text) LEFT JOIN labels USING (doc_id)
+        ), cells AS (
+            SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM marked GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter
+        ), orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+        ), steps AS (
+            SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+                   '[' || left(filter_order, step - 1) || '-]' AS earlier
+            FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders)
+        ), counted AS (
+            SELECT part, filter_order, step, n, good, toxic, length(fails) AS width,
+                   contains(fails, letter) AS failed, regexp_matches(fails, earlier) AS gone
+            FROM cells, steps
+        )
+        SELECT part, filter_order, step,
+               coalesce(sum(n) FILTER (WHERE NOT failed AND NOT gone), 0)::BIGINT AS kept,
+               coalesce(sum(n) FILTER (WHERE failed AND NOT gone), 0)::BIGINT AS removed,
+               coalesce(sum(n) FILTER (WHERE failed AND gone), 0)::BIGINT AS redundant,
+               coalesce(sum(n) FILTER (WHERE failed AND width = 1), 0)::BIGINT AS unique_fails,
+               coalesce(sum(good) FILTER (WHERE failed AND NOT gone), 0)::BIGINT AS good_lost,
+               coalesce(sum(toxic) FILTER (WHERE failed AND NOT gone), 0)::BIGINT AS toxic_lost,
+               coalesce(sum(n * 120 // greatest(width, 1)) FILTER (WHERE failed), 0)::BIGINT AS shapley
+        FROM counted GROUP BY part, filter_order, step
+    """,
+    "op12_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS units
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                   list_inner_product(a.units, b.units)::BIGINT AS score
+            FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.units) = len(b.units)
+            WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+    """,
     "op13_mixing": f"""
         WITH sized AS (
             SELECT doc_id, source,
