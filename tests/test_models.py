@@ -7,13 +7,14 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from textrisk.operators import counting
+from textrisk.operators.counting import count_chars, count_words
 from textrisk.operators.features import (
     CHAR_BLOCK,
     WORD_BLOCK,
     TermSpec,
     TfidfBlock,
     char_terms,
-    positions,
     tfidf_vectors,
     vocabulary,
     word_terms,
@@ -67,7 +68,7 @@ def test_tfidf_against_the_formula(spark, texts):
     kept = {t for t, n in df_of.items() if 2 <= n <= 0.995 * len(DOCS)}
     vocab = vocabulary(df, WORD_BLOCK)
     assert {r["term"] for r in vocab.collect()} == kept
-    place = {r["term"]: r["position"] for r in positions(block.counter, vocab).collect()}
+    place = {r["term"]: r["position"] for r in block.terms.collect()}
     out = tfidf_vectors(df, [block], out_col="v").withColumn("a", vector_to_array("v"))
     for counts, row in zip(counted, out.orderBy("Id").collect()):
         idf = {t: math.log(5 / (1 + df_of[t])) + 1 for t in kept}
@@ -80,7 +81,7 @@ def test_tfidf_against_the_formula(spark, texts):
 
 
 def test_feature_cap_prefers_frequent_then_first_terms(texts):
-    spec = TermSpec("word", word_terms, min_df=1, max_df=1.0, max_features=3)
+    spec = TermSpec("word", word_terms, count_words, min_df=1, max_df=1.0, max_features=3)
     rows = vocabulary(texts("bb bb aa cc", "dd aa"), spec).collect()
     assert {r["term"] for r in rows} == {"aa", "bb", "aa cc"}
 

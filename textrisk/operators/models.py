@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -14,8 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from textrisk.functions.once import computed_once
 from textrisk.functions.risk import over_threshold
-from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK, TfidfBlock, tfidf_vectors
+from textrisk.operators.certificate import penalised_gradient, relational_scores, term_coefficients
+from textrisk.operators.counting import pieces, probabilities
+from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK, TfidfBlock, fit_blocks, tfidf_vectors
+from textrisk.operators.linear import fit_logistic, text_blocks
 from textrisk.operators.split import with_class_weight
 from textrisk.sources.scratch import materialized
 from textrisk.sources.tables import read_document, write_document
@@ -86,7 +91,7 @@ class BatchDetector:
 
 
 def _fit_balanced(
-    features: DataFrame, target: str, strength: float, intercept: bool
+    features: DataFrame, target: str, strength: float, intercept: bool, tolerance: float
 ) -> LogisticRegressionModel:
     """Class-balanced L2 logistic regression.
 
@@ -104,7 +109,7 @@ def _fit_balanced(
         standardization=False,
         fitIntercept=intercept,
         maxIter=MAX_ITERATIONS,
-        tol=TOLERANCE,
+        tol=tolerance,
     )
     return estimator.fit(with_class_weight(features, target))
 
@@ -118,25 +123,54 @@ class TfidfDetector:
     """Word and character TF-IDF with logistic regression.
 
     The last feature is a constant 1 in place of an intercept, so that the penalty covers it.
+    ``coefficients`` are those of the blocks' terms in turn and of the constant.
     """
 
     blocks: tuple[TfidfBlock, ...]
-    classifier: LogisticRegressionModel
+    coefficients: np.ndarray
     threshold: float = 0.5
     model_name: str = TFIDF_MODEL
 
     artifact_type = "tfidf_logistic_regression"
 
+    @property
+    def _parts(self) -> list[tuple]:
+        return [(block.spec.count, block.weights) for block in self.blocks]
+
     @classmethod
-    def fit(cls, df: DataFrame, text_col: str = "text", target: str = "target") -> TfidfDetector:
-        blocks = tuple(TfidfBlock.fit(df, spec, text_col) for spec in _BLOCKS.values())
-        vectors = feature_union(df, blocks, text_col).select(target, "features")
-        return cls(blocks, _fit_balanced(vectors, target, TFIDF_C, intercept=False))
+    def fit(
+        cls, df: DataFrame, text_col: str = "text", target: str = "target", tolerance: float = TOLERANCE
+    ) -> TfidfDetector:
+        blocks = fit_blocks(df, tuple(_BLOCKS.values()), text_col)
+        size = sum(len(block.weights.idf) for block in blocks) + 1
+        parts = [(block.spec.count, block.weights) for block in blocks]
+        rows = text_blocks(with_class_weight(df.select(text_col, target), target), parts, text_col, target, "weight")
+        return cls(blocks, fit_logistic(rows, size, TFIDF_C, tolerance, MAX_ITERATIONS))
 
     def score(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-        kept = list(df.columns)
-        scored = _positive(self.classifier, feature_union(df, self.blocks, text_col), out_col)
-        return scored.select(*kept, out_col)
+        parts, coefficients = self._parts, self.coefficients
+
+        @F.arrow_udf(DoubleType())
+        def probability(texts: pa.Array) -> pa.Array:
+            found = [probabilities(piece, parts, coefficients) for piece in pieces(texts)]
+            return pa.array(np.concatenate([*found, np.zeros(0)]))
+
+        made = probability(F.col(text_col).cast("string"))
+        return computed_once(df.select(*df.columns, made.alias(out_col)), [out_col])
+
+    def gradient(self, df: DataFrame, text_col: str = "text", target: str = "target") -> DataFrame:
+        """``penalised_gradient`` over the rows ``df``, which the model was fitted on."""
+        scored = with_class_weight(self.score(df, text_col, "score"), target)
+        vectors = feature_union(scored, self.blocks, text_col).select(target, "weight", "score", "features")
+        weights = _coefficient_table(df.sparkSession, self.coefficients)
+        return penalised_gradient(vectors, weights, TFIDF_C, target_col=target)
+
+    def relational_score(self, df: DataFrame, text_col: str, out_col: str, id_col: str = "Id") -> DataFrame:
+        """``id_col, out_col``: the same probability, from joins of terms with the coefficients."""
+        weights = materialized(_coefficient_table(df.sparkSession, self.coefficients), "coefficients")
+        known = term_coefficients([(block.spec.name, block.terms) for block in self.blocks], weights)
+        specs, constant = [block.spec for block in self.blocks], float(self.coefficients[-1])
+        return relational_scores(df, specs, materialized(known, "term-coefficients"), constant, id_col, text_col, out_col)
 
     def predict(self, df: DataFrame, text_col: str, out_col: str = "prediction") -> DataFrame:
         scored = self.score(df, text_col, "_score")
@@ -147,13 +181,15 @@ class TfidfDetector:
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The fitted state as tables, for storing and fingerprinting."""
         out = {block.spec.name: block.terms for block in self.blocks}
-        out["coefficients"] = _coefficient_table(spark, self.classifier)
+        out["coefficients"] = _coefficient_table(spark, self.coefficients)
         return out
 
     def save(self, path: str) -> None:
+        spark = SparkSession.active()
         for block in self.blocks:
             block.save(f"{path}/{block.spec.name}")
-        _save_classifier(SparkSession.active(), self, path)
+        _coefficient_table(spark, self.coefficients).write.parquet(f"{path}/coefficients")
+        _save_meta(spark, self, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfDetector:
@@ -161,8 +197,8 @@ class TfidfDetector:
         blocks = tuple(
             TfidfBlock.load(spark, f"{path}/{name}", spec) for name, spec in _BLOCKS.items()
         )
-        model = LogisticRegressionModel.load(f"{path}/classifier")
-        return cls(blocks, model, meta["threshold"], meta["model_name"])
+        rows = spark.read.parquet(f"{path}/coefficients").orderBy("position").toArrow()
+        return cls(blocks, rows["value"].to_numpy(), meta["threshold"], meta["model_name"])
 
 
 def feature_union(
@@ -191,21 +227,33 @@ class EmbeddingDetector:
 
     @classmethod
     def fit(
-        cls, df: DataFrame, embedding_col: str = "embedding", target: str = "target"
+        cls,
+        df: DataFrame,
+        embedding_col: str = "embedding",
+        target: str = "target",
+        tolerance: float = TOLERANCE,
     ) -> EmbeddingDetector:
         vectors = cls._features(df, embedding_col).select(target, "features")
-        return cls(_fit_balanced(vectors, target, EMBEDDING_C, intercept=True), embedding_col)
+        return cls(_fit_balanced(vectors, target, EMBEDDING_C, True, tolerance), embedding_col)
 
     def score(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         kept = list(df.columns)
         features = self._features(df, self.embedding_col)
         return _positive(self.classifier, features, out_col).select(*kept, out_col)
 
+    def gradient(self, df: DataFrame, text_col: str = "text", target: str = "target") -> DataFrame:
+        """``penalised_gradient`` over the rows ``df``, which the model was fitted on."""
+        vectors = self._features(df, self.embedding_col).select(target, "features")
+        scored = _positive(self.classifier, with_class_weight(vectors, target), "score")
+        weights = _coefficient_table(df.sparkSession, _coefficients(self.classifier))
+        return penalised_gradient(scored, weights, EMBEDDING_C, target_col=target, dense=True, intercept=True)
+
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
-        return {"coefficients": _coefficient_table(spark, self.classifier)}
+        return {"coefficients": _coefficient_table(spark, _coefficients(self.classifier))}
 
     def save(self, path: str) -> None:
-        _save_classifier(SparkSession.active(), self, path, embedding_col=self.embedding_col)
+        self.classifier.write().save(f"{path}/classifier")
+        _save_meta(SparkSession.active(), self, path, embedding_col=self.embedding_col)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EmbeddingDetector:
@@ -214,13 +262,16 @@ class EmbeddingDetector:
         return cls(model, meta["embedding_col"], meta["threshold"], meta["model_name"])
 
 
-def _coefficient_table(spark: SparkSession, model: LogisticRegressionModel) -> DataFrame:
-    values = [float(v) for v in model.coefficients.toArray()] + [float(model.intercept)]
-    return spark.createDataFrame(list(enumerate(values)), "position int, value double")
+def _coefficients(model: LogisticRegressionModel) -> np.ndarray:
+    """The coefficients of a model, its intercept last."""
+    return np.append(model.coefficients.toArray(), model.intercept)
+
+
+def _coefficient_table(spark: SparkSession, values: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"position": np.arange(len(values), dtype=np.int32), "value": values}))
 
 
-def _save_classifier(spark: SparkSession, detector, path: str, **extra) -> None:
-    detector.classifier.write().save(f"{path}/classifier")
+def _save_meta(spark: SparkSession, detector, path: str, **extra) -> None:
     meta = {
         "artifact_type": detector.artifact_type,
         "model_name": detector.model_name,

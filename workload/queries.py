@@ -13,7 +13,7 @@ from textrisk.operators.features import (
     CHAR_BLOCK,
     WORD_BLOCK,
     TfidfBlock,
-    positions,
+    fit_blocks,
     term_weights,
     tfidf_vectors,
     vocabulary,
@@ -487,7 +487,7 @@ def _term_summary(spark, sf_dir, spec):
     vocab = materialized(vocabulary(documents, spec), f"vocabulary-{spec.name}")
     block = TfidfBlock.from_vocabulary(vocab, spec)
     weights = term_weights(tfidf_vectors(documents, [block], out_col="v"), "v")
-    return positions(block.counter, vocab).join(weights, "position").select(
+    return vocab.join(block.terms.select("position", "term"), "term").join(weights, "position").select(
         "term",
         "doc_freq",
         "corpus_freq",
@@ -512,7 +512,7 @@ def _training_frame(spark, sf_dir):
 
 def feature_union_sizes(spark, sf_dir):
     frame = _training_frame(spark, sf_dir)
-    blocks = tuple(TfidfBlock.fit(frame, spec) for spec in (WORD_BLOCK, CHAR_BLOCK))
+    blocks = fit_blocks(frame, (WORD_BLOCK, CHAR_BLOCK))
     parts = F.unwrap_udt("features")
     return feature_union(frame, blocks).select(
         "Id", F.size(parts["indices"]).alias("terms"), parts["size"].alias("dimensions")
