@@ -6,7 +6,9 @@ import re
 
 from textrisk.functions import labels, risk, rules
 from textrisk.functions.normalize import EXOTIC_SPACES, ZERO_WIDTH
+from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK
 from textrisk.operators.metrics import SELECTION_RULE
+from textrisk.operators.models import EMBEDDING_C, EMBEDDING_MODEL, TFIDF_C, TFIDF_MODEL
 from workload.overlay import LEADS
 from workload.queries import HEURISTIC_THRESHOLD, KEYWORDS, ML_THRESHOLD, OTHER_KEYWORDS
 
@@ -333,6 +335,111 @@ def _kept_terms(name: str, terms: str, max_df: float, max_features: int) -> str:
 {name}_found AS (SELECT doc_id, count(*) AS n FROM {name}_tf JOIN {name}_kept USING (term) GROUP BY doc_id)"""
 
 
+# ---- models -------------------------------------------------------------------------------
+#
+# The penalised loss has one optimum, which both sides must find. Here it is looked for in the dual:
+# the coefficients are a sum of training rows, so the products of rows are all that is needed, and
+# accelerated gradient steps run as a recursion over one row of arrays.
+
+
+def _split_by(rows: str) -> str:
+    return f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY target
+      ORDER BY md5('42:' || CAST("Id" AS VARCHAR)), CAST("Id" AS VARCHAR))
+      <= round(0.2::DOUBLE * count(*) OVER (PARTITION BY target)) THEN 'validation' ELSE 'train' END AS partition
+  FROM ({rows})"""
+
+
+def _optimum(strength: float, intercept: bool, modulus: float, steps: int) -> str:
+    """``weights``: ``i, a`` of every training row, and the intercept ``b``. Before it stand ``points``
+    (``i, y``) and ``kernel`` (``i, k``: the products with all training rows, in order)."""
+    free = "any_value(u) + any_value(pace) * sum(r)" if intercept else "0.0::DOUBLE"
+    zeros = "list_transform(range(n), lambda i: 0.0::DOUBLE)"
+    return f"""
+weighed AS (SELECT i, y, count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY y)) AS c FROM points),
+bound AS (SELECT count(*) AS n, {strength}::DOUBLE * 0.25::DOUBLE * max(c)
+    * max(list_sum(list_transform(k, lambda x: abs(x) + {int(intercept)}))) + 1 AS steepest FROM weighed JOIN kernel USING (i)),
+paces AS (SELECT 1 / steepest AS pace, (sqrt(steepest / {modulus}::DOUBLE) - 1) / (sqrt(steepest / {modulus}::DOUBLE) + 1)
+  AS momentum FROM bound),
+fit AS (
+  SELECT 0 AS step, {zeros} AS a, {zeros} AS p, 0.0::DOUBLE AS b, 0.0::DOUBLE AS q FROM bound
+  UNION ALL
+  SELECT step + 1, list(v[i] + pace * (r - v[i]) ORDER BY i), any_value(a), {free}, any_value(b)
+  FROM (SELECT *, {strength}::DOUBLE * c * (y - 1 / (1 + exp(-(list_inner_product(k, v) + u)))) AS r
+    FROM (SELECT step, a, b, pace, list_transform(a, lambda x, i: x + momentum * (x - p[i])) AS v,
+        b + momentum * (b - q) AS u FROM fit, paces WHERE step < {steps})
+      CROSS JOIN kernel JOIN weighed USING (i))
+  GROUP BY step),
+last AS (SELECT a, b FROM fit ORDER BY step DESC LIMIT 1),
+weights AS (SELECT i, a[i] AS a, b FROM points, last)"""
+
+
+def _embedding_model(split: bool, embedding: str = "x::DOUBLE", name: str = "") -> str:
+    """CTEs up to ``scored``: ``Id, target, partition, score`` of every vector."""
+    rows = 'SELECT vec_id AS "Id", (label < 5)::INT AS target, embedding FROM embeddings'
+    parted = _split_by(rows) if split else f"SELECT *, 'train' AS partition FROM ({rows})"
+    ctes = f"""
+units AS MATERIALIZED (SELECT "Id", target, partition,
+    list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS x
+  FROM (SELECT *, list_transform(embedding, lambda x: {embedding}) AS e FROM ({parted}))),
+points AS MATERIALIZED (SELECT row_number() OVER (ORDER BY "Id") AS i, x, target AS y FROM units WHERE partition = 'train'),
+kernel AS MATERIALIZED (SELECT g.i, list(list_inner_product(g.x, h.x) ORDER BY h.i) AS k FROM points g, points h GROUP BY g.i),
+{_optimum(EMBEDDING_C, True, 0.5, 500)},
+scored AS (SELECT "Id", target, partition, 1 / (1 + exp(-(sum(list_inner_product(units.x, points.x) * a) + any_value(b)))) AS score
+  FROM units, points JOIN weights USING (i) GROUP BY "Id", target, partition)"""
+    for cte in ("units", "points", "kernel", "weighed", "bound", "paces", "fit", "last", "weights", "scored"):
+        ctes = re.sub(rf"\b{cte}\b", cte + name, ctes)
+    return ctes
+
+
+_ATTACKS = (1, 2, 3, 4, 5, 6, 7, 9, 13, 15)
+
+
+def _tfidf_model(split: bool) -> str:
+    """The same of every document with its lead-in, by its terms; term weights come from the training rows."""
+    rows = f'SELECT "Id", text, (("Id" % 16) IN {_ATTACKS})::INT AS target FROM ({OVERLAY})'
+    parted = _split_by(rows) if split else f"SELECT *, 'train' AS partition FROM ({rows})"
+    blocks = []
+    for block, terms, spec in (("w", _WORD_TERMS, WORD_BLOCK), ("c", _CHAR_TERMS, CHAR_BLOCK)):
+        spread = terms.replace("FROM documents", 'FROM (SELECT "Id" AS doc_id, text FROM frame)')
+        spread = spread.replace(r"'\S+'", q(_NOT_BLANK))
+        blocks.append(f"""
+tf_{block} AS MATERIALIZED (SELECT doc_id AS "Id", term, count(*) AS tf FROM ({spread}) GROUP BY doc_id, term),
+kept_{block} AS MATERIALIZED (SELECT term, row_number() OVER () AS t,
+    ln((1 + (SELECT n FROM trained)) / (1 + count(*))::DOUBLE) + 1 AS idf
+  FROM tf_{block} JOIN frame USING ("Id") WHERE partition = 'train' GROUP BY term
+  HAVING count(*) >= {spec.min_df} AND count(*) <= {spec.max_df}::DOUBLE * (SELECT n FROM trained)
+  ORDER BY sum(tf) DESC, term LIMIT {spec.max_features}),
+unit_{block} AS MATERIALIZED (SELECT "Id", t, w / sqrt(sum(w * w) OVER (PARTITION BY "Id")) AS w
+  FROM (SELECT "Id", t, (1 + ln(tf)) * idf AS w FROM tf_{block} JOIN kept_{block} USING (term)))""")
+    return f"""
+frame AS MATERIALIZED (SELECT *, CASE WHEN partition = 'train' THEN row_number() OVER (PARTITION BY partition ORDER BY "Id") END AS i
+  FROM ({parted})),
+trained AS (SELECT count(*) AS n FROM frame WHERE partition = 'train'),
+{','.join(blocks)},
+points_of AS (SELECT "Id", i FROM frame WHERE i IS NOT NULL),
+points AS (SELECT i, target AS y FROM frame WHERE i IS NOT NULL),
+products AS MATERIALIZED (SELECT "Id", i, sum(k) + 1 AS k FROM (
+    SELECT g."Id", h.i, sum(g.w * h.w) AS k FROM unit_w g JOIN (SELECT * FROM unit_w JOIN points_of USING ("Id")) h USING (t) GROUP BY ALL
+    UNION ALL
+    SELECT g."Id", h.i, sum(g.w * h.w) AS k FROM unit_c g JOIN (SELECT * FROM unit_c JOIN points_of USING ("Id")) h USING (t) GROUP BY ALL
+    UNION ALL SELECT "Id", p.i, 0 FROM frame, points p)
+  GROUP BY ALL),
+kernel AS MATERIALIZED (SELECT f.i, list(k ORDER BY p.i) AS k FROM products p JOIN points_of f USING ("Id") GROUP BY f.i),
+{_optimum(TFIDF_C, False, 1.0, 500)},
+scored AS (SELECT "Id", target, partition, 1 / (1 + exp(-sum(k * a))) AS score
+  FROM products p JOIN weights USING (i) JOIN frame USING ("Id") GROUP BY "Id", target, partition)"""
+
+
+def _trained(name: str, kind: str, scored: str = "scored") -> str:
+    """The report of a fit whose scores are ``scored``."""
+    held = f"SELECT * FROM {scored} WHERE partition = 'validation'"
+    return f"""SELECT '{name}' AS name, 'trained' AS status, '{kind}' AS model,
+  (SELECT count(*) FROM {scored} WHERE partition = 'train') AS train_rows,
+  (SELECT count(*) FROM {scored} WHERE partition = 'validation') AS validation_rows,
+  threshold, '{SELECTION_RULE}' AS selection_rule, tn, fp, fn, tp, {_RATIOS}, {_SUPPORT}, 0 AS unscored_rows, roc_auc
+FROM ({_best(held)}) CROSS JOIN ({_auc(f"(SELECT *, 1 AS one FROM {scored} WHERE partition = 'validation')", 'one')})"""
+
+
 def _listed_text(column: str) -> str:
     return f"array_to_string({column}, '|') AS {column}"
 
@@ -470,6 +577,23 @@ SELECT a."Id", a.ml_score AS ml_score_a, a.risk_score AS risk_score_a, a.decisio
 SELECT d.doc_id AS "Id", CAST(coalesce(w.n, 0) + coalesce(c.n, 0) + 1 AS INT) AS terms,
   CAST((SELECT count(*) FROM word_kept) + (SELECT count(*) FROM chars_kept) + 1 AS INT) AS dimensions
 FROM documents d LEFT JOIN word_found w ON w.doc_id = d.doc_id LEFT JOIN chars_found c ON c.doc_id = d.doc_id""",
+    "train_model_a": f"""WITH RECURSIVE {_tfidf_model(True)}
+SELECT *, (SELECT count(*) + (SELECT count(*) FROM kept_c) + 1 FROM kept_w) AS coefficients, 0.0::DOUBLE AS largest_gradient
+FROM ({_trained('model_a', TFIDF_MODEL)})""",
+    "score_model_a": f"""WITH RECURSIVE {_tfidf_model(False)}
+SELECT "Id", target, round(score, 3) AS score, (score >= 0.5)::INT AS prediction FROM scored""",
+    "scoring_paths": f"""SELECT (doc_id % 16 IN {_ATTACKS})::INT AS target, count(*) AS rows, 0::BIGINT AS apart
+FROM documents GROUP BY 1""",
+    "train_model_b": f"""WITH RECURSIVE {_embedding_model(True)}
+SELECT *, (SELECT len(embedding) + 1 FROM embeddings LIMIT 1) AS coefficients, 0.0::DOUBLE AS largest_gradient
+FROM ({_trained('model_b', EMBEDDING_MODEL)})""",
+    "score_model_b": f"""WITH RECURSIVE {_embedding_model(False)}
+SELECT "Id", target, round(score, 4) AS score FROM scored""",
+    "model_report": f"""WITH RECURSIVE {_embedding_model(True)}, {_embedding_model(True, '(x * x)::DOUBLE', '_2')},
+reports AS ({_trained('model_a', EMBEDDING_MODEL)}
+  UNION ALL {_trained('model_b', EMBEDDING_MODEL, 'scored_2')})
+SELECT *, row_number() OVER (ORDER BY recall_jailbreak + 0.5::DOUBLE * f1_jailbreak - 0.35::DOUBLE * false_positive_rate DESC,
+  name) = 1 AS is_primary FROM reports""",
     "predict_batch": """SELECT vec_id, round(1 / (1 + exp(-list_dot_product(
   list_transform(embedding, lambda x: x::DOUBLE),
   list_transform(range(0, 64), lambda i: ((i % 7 - 3) / 10.0)::DOUBLE)))), 9) AS probability FROM embeddings""",

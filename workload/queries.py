@@ -519,15 +519,39 @@ def feature_union_sizes(spark, sf_dir):
     )
 
 
+# Gradients shorter than this share of that at zero, so that scores can be set against another solver's.
+CLOSE, CLOSER = 1e-6, 1e-10
+
+
+def _report(trained):
+    """The report beside the certificate, its gradient to three digits."""
+    certificate = trained.certificate.select(
+        F.lit(trained.name).alias("name"), "coefficients", F.round("largest_gradient", 3).alias("largest_gradient")
+    )
+    return _rounded(trained.report.drop("training_seconds")).join(certificate, "name")
+
+
 def train_model_a(spark, sf_dir):
-    return train.train_tfidf(_training_frame(spark, sf_dir)).report.drop("training_seconds")
+    return _report(train.train_tfidf(_training_frame(spark, sf_dir), tolerance=CLOSE))
 
 
 def score_model_a(spark, sf_dir):
+    """Every document scored by a model of all documents."""
     frame = _training_frame(spark, sf_dir)
-    detector = TfidfDetector.fit(frame)
+    detector = TfidfDetector.fit(frame, tolerance=CLOSE)
     scored = detector.score(frame, "text", "score").select("Id", "target", "score")
-    return scored.withColumn("prediction", risk.over_threshold(F.col("score"), detector.threshold))
+    predicted = risk.over_threshold(F.col("score"), detector.threshold)
+    return scored.select("Id", "target", F.round("score", 3).alias("score"), predicted.alias("prediction"))
+
+
+def scoring_paths(spark, sf_dir):
+    """Documents whose score as a join of terms differs from that of their vector, per target."""
+    frame = materialized(_training_frame(spark, sf_dir), "training-frame")
+    detector = TfidfDetector.fit(frame)
+    joins = detector.relational_score(frame, "text", "joined")
+    both = detector.score(frame, "text", "score").select("Id", "target", "score").join(joins, "Id")
+    apart = F.abs(F.col("score") - F.col("joined")) > 1e-9
+    return both.groupBy("target").agg(F.count("*").alias("rows"), F.count_if(apart).alias("apart"))
 
 
 def _vectors(spark, sf_dir):
@@ -537,20 +561,22 @@ def _vectors(spark, sf_dir):
 
 
 def train_model_b(spark, sf_dir):
-    return train.train_embeddings(_vectors(spark, sf_dir)).report.drop("training_seconds")
+    return _report(train.train_embeddings(_vectors(spark, sf_dir), tolerance=CLOSER))
 
 
 def model_report(spark, sf_dir):
     """Reports of two fits in one registry, the selected one marked."""
-    first = train.train_embeddings(_vectors(spark, sf_dir), name="model_a").report
+    first = train.train_embeddings(_vectors(spark, sf_dir), name="model_a", tolerance=CLOSER).report
     squares = _vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: x * x))
-    second = train.train_embeddings(squares, name="model_b").report
-    return train.registry(first.unionAll(second)).drop("training_seconds")
+    second = train.train_embeddings(squares, name="model_b", tolerance=CLOSER).report
+    return _rounded(train.registry(first.unionAll(second)).drop("training_seconds"))
 
 
 def score_model_b(spark, sf_dir):
-    detector = EmbeddingDetector.fit(_vectors(spark, sf_dir))
-    return detector.score(_vectors(spark, sf_dir), "text", "score").select("Id", "target", "score")
+    """Every vector scored by a model of all vectors."""
+    detector = EmbeddingDetector.fit(_vectors(spark, sf_dir), tolerance=CLOSER)
+    scored = detector.score(_vectors(spark, sf_dir), "text", "score")
+    return scored.select("Id", "target", F.round("score", 4).alias("score"))
 
 
 def _linear_model():
@@ -627,6 +653,7 @@ QUERIES = {
     "feature_union": feature_union_sizes,
     "train_model_a": train_model_a,
     "score_model_a": score_model_a,
+    "scoring_paths": scoring_paths,
     "train_model_b": train_model_b,
     "score_model_b": score_model_b,
     "model_report": model_report,
