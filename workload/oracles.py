@@ -409,21 +409,19 @@ kept_{block} AS MATERIALIZED (SELECT term, row_number() OVER () AS t,
   FROM tf_{block} JOIN frame USING ("Id") WHERE partition = 'train' GROUP BY term
   HAVING count(*) >= {spec.min_df} AND count(*) <= {spec.max_df}::DOUBLE * (SELECT n FROM trained)
   ORDER BY sum(tf) DESC, term LIMIT {spec.max_features}),
-unit_{block} AS MATERIALIZED (SELECT "Id", t, w / sqrt(sum(w * w) OVER (PARTITION BY "Id")) AS w
-  FROM (SELECT "Id", t, (1 + ln(tf)) * idf AS w FROM tf_{block} JOIN kept_{block} USING (term)))""")
+unit_{block} AS MATERIALIZED (SELECT "Id"::INT AS g, t::INT AS t, w / sqrt(sum(w * w) OVER (PARTITION BY "Id")) AS w
+  FROM (SELECT "Id", t, (1 + ln(tf)) * idf AS w FROM tf_{block} JOIN kept_{block} USING (term))),
+mine_{block} AS MATERIALIZED (SELECT i::INT AS i, t, w FROM unit_{block} JOIN points_of ON "Id" = g),
+pairs_{block} AS MATERIALIZED (SELECT g, i, sum(u.w * m.w) AS k FROM unit_{block} u JOIN mine_{block} m USING (t) GROUP BY g, i)""")
     return f"""
 frame AS MATERIALIZED (SELECT *, CASE WHEN partition = 'train' THEN row_number() OVER (PARTITION BY partition ORDER BY "Id") END AS i
   FROM ({parted})),
 trained AS (SELECT count(*) AS n FROM frame WHERE partition = 'train'),
+points_of AS MATERIALIZED (SELECT "Id", i FROM frame WHERE i IS NOT NULL),
 {','.join(blocks)},
-points_of AS (SELECT "Id", i FROM frame WHERE i IS NOT NULL),
 points AS (SELECT i, target AS y FROM frame WHERE i IS NOT NULL),
-products AS MATERIALIZED (SELECT "Id", i, sum(k) + 1 AS k FROM (
-    SELECT g."Id", h.i, sum(g.w * h.w) AS k FROM unit_w g JOIN (SELECT * FROM unit_w JOIN points_of USING ("Id")) h USING (t) GROUP BY ALL
-    UNION ALL
-    SELECT g."Id", h.i, sum(g.w * h.w) AS k FROM unit_c g JOIN (SELECT * FROM unit_c JOIN points_of USING ("Id")) h USING (t) GROUP BY ALL
-    UNION ALL SELECT "Id", p.i, 0 FROM frame, points p)
-  GROUP BY ALL),
+products AS MATERIALIZED (SELECT f."Id", p.i, 1 + coalesce(w.k, 0) + coalesce(c.k, 0) AS k
+  FROM frame f CROSS JOIN points p LEFT JOIN pairs_w w ON w.g = f."Id" AND w.i = p.i LEFT JOIN pairs_c c ON c.g = f."Id" AND c.i = p.i),
 kernel AS MATERIALIZED (SELECT f.i, list(k ORDER BY p.i) AS k FROM products p JOIN points_of f USING ("Id") GROUP BY f.i),
 {_optimum(TFIDF_C, False, 1.0, 500)},
 scored AS (SELECT "Id", target, partition, 1 / (1 + exp(-sum(k * a))) AS score
