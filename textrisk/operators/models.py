@@ -22,7 +22,7 @@ from textrisk.operators.counting import pieces, probabilities
 from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK, TfidfBlock, fit_blocks, tfidf_vectors
 from textrisk.operators.linear import fit_logistic, text_blocks
 from textrisk.operators.split import with_class_weight
-from textrisk.sources.scratch import materialized
+from textrisk.sources.scratch import materialized, scratch_path
 from textrisk.sources.tables import read_document, write_document
 
 # Model names, regularization strengths, iteration limit and tolerance.
@@ -111,7 +111,11 @@ def _fit_balanced(
         maxIter=MAX_ITERATIONS,
         tol=tolerance,
     )
-    return estimator.fit(with_class_weight(features, target))
+    # Read back without its training summary, which holds the session: a session that observes
+    # metrics cannot be sent to tasks.
+    path = scratch_path(features.sparkSession, "classifier")
+    estimator.fit(with_class_weight(features, target)).write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def _positive(model: LogisticRegressionModel, features: DataFrame, out_col: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,8 +56,15 @@ def with_slice(stored: DataFrame, value_col: str, name: str = "_slice") -> DataF
     slices = max(_FEWEST_SLICES, int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = [i / slices for i in range(1, slices)]
     found = stored.agg(F.percentile_approx(value_col, F.lit(marks), _ACCURACY)).first()[0]
-    bounds = F.array(*[F.lit(float(b)) for b in found or []]).cast("array<double>")
-    return stored.withColumn(name, F.size(F.filter(bounds, lambda b: b < F.col(value_col))))
+    bounds = sorted({float(b) for b in found or [] if isfinite(b)})
+    if not bounds:
+        return stored.withColumn(name, F.lit(0))
+    # Finds the slice by binary search; NaN, the largest value, is in a slice after all others.
+    slicer = Bucketizer(
+        splits=[float("-inf"), *bounds, float("inf")], inputCol="_sliced", outputCol="_bucket", handleInvalid="keep"
+    )
+    sliced = slicer.transform(stored.withColumn("_sliced", F.col(value_col).cast("double")))
+    return sliced.select(*stored.columns, F.col("_bucket").cast("int").alias(name))
 
 
 def exact_percentiles(

@@ -8,6 +8,7 @@ from textrisk.functions import labels, risk, rules
 from textrisk.functions.normalize import EXOTIC_SPACES, ZERO_WIDTH
 from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK
 from textrisk.operators.metrics import SELECTION_RULE
+from textrisk.operators.multiset import DIGESTS, HEX, PER_DIGEST
 from textrisk.operators.models import EMBEDDING_C, EMBEDDING_MODEL, TFIDF_C, TFIDF_MODEL
 from workload.overlay import LEADS
 from workload.queries import HEURISTIC_THRESHOLD, KEYWORDS, ML_THRESHOLD, OTHER_KEYWORDS
@@ -286,6 +287,15 @@ branches AS (SELECT left(p6, 3) AS p3, {_tree_hash("p6 || h")} AS h, sum(n) AS n
 SELECT CAST(sum(n) AS BIGINT) AS rows, {_tree_hash("p3 || h")} AS fingerprint FROM branches"""
 
 
+def _multiset(digests: str) -> str:
+    """Rows and fingerprint of the digests ``d``: their numbers summed limb by limb."""
+    return f"""
+  SELECT rows, sha256(rows || ':' || string_agg(lpad(lower(to_hex(limb)), {HEX}, '0'), '' ORDER BY j, k)) AS fingerprint
+  FROM (SELECT j, k, count(*) AS rows,
+      (sum(('0x' || substr(sha256(d || ':' || j), k * {HEX} + 1, {HEX}))::BIGINT) % {1 << 4 * HEX})::BIGINT AS limb
+    FROM ({digests}), range({DIGESTS}) a(j), range({PER_DIGEST}) b(k) GROUP BY j, k) GROUP BY rows"""
+
+
 # ---- features -----------------------------------------------------------------------------
 
 
@@ -515,6 +525,12 @@ FROM documents d LEFT JOIN ({_SPLIT}) s ON CAST(d.doc_id AS VARCHAR) = s."Id\"""
   count(*) - count(DISTINCT text) AS duplicate_texts FROM ({_LABELED})""",
     "label_distribution": f"SELECT label AS value, count(*) AS rows FROM ({_LABELED}) GROUP BY label",
     "fingerprint": _FINGERPRINT,
+    "fingerprint_merge": _multiset(f"SELECT sha256({_SIZED}) AS d FROM documents"),
+    "external_receipt": f"""SELECT count(*) AS rows, count(*) FILTER (vec_id % 9 = 0) AS rejected_rows,
+  count(*) FILTER (vec_id % 9 <> 0) AS decisions, (SELECT fingerprint FROM ({_multiset(
+      "SELECT sha256(length(vec_id::VARCHAR) || ':' || vec_id || coalesce(length('vector ' || text) || ':vector ' || text, '-')) AS d"
+      " FROM (SELECT vec_id, CASE WHEN vec_id % 9 <> 0 THEN vec_id::VARCHAR END AS text FROM embeddings)"
+  )})) AS input_fingerprint, 1 AS predictions_fit, 1 AS timed FROM embeddings""",
     "class_weights": """SELECT toxic AS target, count(*) AS rows,
   round(CAST(sum(count(*)) OVER () AS BIGINT) / (2.0::DOUBLE * count(*)), 9) AS weight FROM labels GROUP BY toxic""",
     "threshold_predict": f'SELECT "Id", score, (score >= {ML_THRESHOLD})::INT AS prediction FROM ({_tied()})',

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textrisk.functions import labels, normalize, risk, rules
 from textrisk.functions.risk import RiskConfig
-from textrisk.operators import checks, joins, metrics, profile
+from textrisk.operators import checks, joins, metrics, multiset, profile
 from textrisk.operators import split as splits
 from textrisk.operators.features import (
     CHAR_BLOCK,
@@ -27,7 +27,7 @@ from textrisk.operators.models import (
     keyword_detector,
 )
 from textrisk.operators.ordering import exact_percentiles, with_row_index
-from textrisk.plans import evaluate, train
+from textrisk.plans import evaluate, freeze, train
 from textrisk.plans.scan import compare_detectors, scan, scan_batch, score_components
 from textrisk.sources.scratch import materialized, scratch_path
 from textrisk.sources.tables import (
@@ -317,6 +317,38 @@ def fingerprint_documents(spark, sf_dir):
     return fingerprint(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_merge(spark, sf_dir):
+    """The fingerprint of all documents from those of each language and source."""
+    documents = table(spark, sf_dir, "documents")
+    whole = multiset.row_limbs(documents)
+    limbs = documents.select("lang", "source", whole.alias("_limbs"))
+    parts = limbs.groupBy("lang", "source").agg(
+        F.count("*").alias("rows"),
+        F.array(*(F.sum(F.get("_limbs", F.lit(i))) for i in range(multiset.LIMBS))).alias("limbs"),
+    )
+    return multiset.state_fingerprint(multiset.merged_states(parts))
+
+
+def external_receipt(spark, sf_dir):
+    """A model is fitted, frozen, loaded and run over all vectors; what its receipt says of them."""
+    vectors = _vectors(spark, sf_dir)
+    folder = scratch_path(spark, "external")
+    freeze.freeze(spark, {"model_b": train.train_embeddings(vectors, name="model_b")}, f"{folder}/frozen")
+    text = F.when(F.col("Id") % 9 != 0, F.concat(F.lit("vector "), "Id"))
+    inputs = vectors.select("Id", text.alias("text"), "embedding")
+    receipt = freeze.predict_external(spark, f"{folder}/frozen", inputs, f"{folder}/out")
+    written = spark.read.parquet(f"{folder}/out/predictions")
+    fits = multiset.multiset_fingerprint(written) == receipt["prediction_fingerprint"]
+    return written.agg(
+        F.lit(receipt["rows"]).cast("bigint").alias("rows"),
+        F.lit(receipt["rejected_rows"]).cast("bigint").alias("rejected_rows"),
+        F.count("decision").alias("decisions"),
+        F.lit(receipt["input_fingerprint"]).alias("input_fingerprint"),
+        F.lit(int(fits)).alias("predictions_fit"),
+        F.lit(int(0 < receipt["p50_ms_per_document"] <= receipt["p95_ms_per_document"])).alias("timed"),
+    )
+
+
 def class_weights(spark, sf_dir):
     return splits.class_weights(_toxic(spark, sf_dir)).withColumn("weight", r9("weight"))
 
@@ -630,6 +662,8 @@ QUERIES = {
     "dataset_summary": dataset_summary,
     "label_distribution": label_distribution,
     "fingerprint": fingerprint_documents,
+    "fingerprint_merge": fingerprint_merge,
+    "external_receipt": external_receipt,
     "class_weights": class_weights,
     "threshold_predict": threshold_predict,
     "softmax_prob": softmax_prob,
