@@ -275,6 +275,25 @@ def test_vectors_equal_brute_force(spark):
     assert vector_dedup.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_vectors_that_share_an_id_have_their_own_links(spark):
+    a, b, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0, 0.01]), (4, [0.01, 1.0, 0.0]), (5, far), (5, None)]
+    found = vector_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [
+        (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1), (5, 0, 5), (5, 0, 5),
+    ]
+
+
+def test_vectors_of_every_length_and_size_link(spark):
+    near = ([1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01])
+    rows = [(10 * k + i, [x * scale for x in v]) for k, scale in enumerate((1.0, 1e200, 1e-200, 1e-310)) for i, v in enumerate(near)]
+    rows += [(100, [1.0, 0.0] * 3), (101, [1.0, 0.01] * 3), (102, [1.0]), (103, [-1.0])]
+    found = vector_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found}
+    assert all(got[10 * k + i] == (7, 0) for k in range(4) for i in (0, 1))
+    assert got[100] == got[101] == (1, 100) and got[102] == (0, 102) and got[103] == (0, 103)
+
+
 def test_vectors_over_several_slabs(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "SLAB_ROWS", 40)
     test_vectors_equal_brute_force(spark)

@@ -166,6 +166,26 @@ ORACLES = {
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
         FROM documents d LEFT JOIN kept k USING (doc_id)
     """,
+    "op6_vector_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+        ), usable AS (
+            SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM vectors
+            WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.95::DOUBLE
+        ), reached AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        ), smallest AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, component_id,
+               e.vec_id = component_id AS kept
+        FROM embeddings e JOIN smallest USING (vec_id)
+    """,
     "op11_filter_audit": """
         WITH texts AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,

@@ -208,36 +208,41 @@ def near_duplicate_vectors(
     is its own).
 
     Cosines are computed in double precision. Vectors that are null, empty or zero, or hold a
-    null, NaN or infinite component, and vectors of another length than most, link with nothing.
-    Equal vectors link with each other. Rows that repeat an id are counted each, and are one node
-    of a component; a null id links with nothing. Ids are whole numbers; other columns are dropped.
+    null, NaN or infinite component, link with nothing, and so do vectors of different lengths;
+    each length is searched by itself. Equal vectors link with each other. Rows that repeat an id
+    are counted each, with the links of their own vector, and are one node of a component, but for
+    those without a usable vector, which stand alone; a null id links with nothing. Ids are whole
+    numbers; other columns are dropped.
     """
     small_batches(table.sparkSession, 2048)
-    vector = F.col(vector_col)
-    rows = table.select(F.col(id_col).alias("id"), vector.cast("array<double>").alias("vector"))
-    number = F.aggregate(
-        "vector", F.lit(0.0), lambda total, x: total + F.when(x.isNull() | F.isnan(x), F.lit(float("inf"))).otherwise(x * x)
+    vector = F.col(vector_col).cast("array<double>")
+    rows = table.select(F.col(id_col).alias("id"), vector.alias("vector"))
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    largest = F.array_max(F.transform("vector", F.abs))
+    usable = F.coalesce(F.col("id").isNotNull() & sound & (largest > 0), F.lit(False))
+    # Squares of components beyond these would leave the range of doubles.
+    scale = F.when((largest > 1e140) | (largest < 1e-140), largest).otherwise(F.lit(1.0))
+    rows = rows.select("id", F.when(usable, F.transform("vector", lambda x: x / scale)).alias("vector"))
+    made = {"key": F.xxhash64("vector"), "key2": F.hash("vector")}
+    known = F.col("vector").isNotNull()
+    rows = stored(rows.select("id", *(F.when(known, c).alias(n) for n, c in made.items()), "vector"), "vectors")
+    usable_rows = rows.where("key IS NOT NULL")
+    distinct = usable_rows.groupBy("key", "key2").agg(
+        F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")
     )
-    usable = F.col("id").isNotNull() & (number > 0) & (number < float("inf"))
-    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    common = rows.where("usable").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = common["n"] if common else 0
-    rows = rows.withColumn("usable", F.col("usable") & (F.size("vector") == dim))
-    made = {"key": F.xxhash64("vector"), "key2": F.hash("vector"), "vector": F.col("vector")}
-    rows = rows.select("id", *(F.when(F.col("usable"), column).alias(name) for name, column in made.items()))
-    rows = stored(rows, "vectors")
-    distinct = (
-        rows.where("key IS NOT NULL")
-        .groupBy("key", "key2")
-        .agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
-    )
-    distinct = stored(distinct, "distinct")
-    links = stored(_links(distinct, threshold), "links")
-    components = stored(connected_components(links.select(F.col("id").alias("a"), F.col("other").alias("b"))), "components")
-    totals = links.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    # Nodes are distinct vectors; one id may stand for several.
+    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    lengths = [row[0] for row in distinct.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    links = distinct.select(F.col("node").alias("id"), F.lit(0).cast("bigint").alias("links"), F.col("node").alias("other")).limit(0)
+    for length in lengths:
+        mine = distinct.where(F.size("vector") == length).select(F.col("node").alias("id"), "weight", "vector")
+        links = links.unionByName(_links(mine, threshold))
+    links = stored(links, "links")
+    components = stored(connected_components(_id_links(usable_rows, distinct, links)), "components")
+    totals = links.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
     reps = (
-        distinct.select("key", "key2", F.col("id").alias("rep"), "weight")
-        .join(totals, "rep", "left")
+        distinct.select("key", "key2", "node", "rep", "weight")
+        .join(totals, "node", "left")
         .join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
             "key",
@@ -246,7 +251,7 @@ def near_duplicate_vectors(
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    found = rows.join(stored(reps, "reps"), ["key", "key2"], "left")
+    found = rows.select("id", "key", "key2").join(stored(reps, "reps"), ["key", "key2"], "left")
     component = F.coalesce("component_id", "id")
     return found.select(
         F.col("id").alias(id_col),
@@ -254,3 +259,15 @@ def near_duplicate_vectors(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def _id_links(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``a, b``: the ids of linked vectors, and each id that has several vectors with theirs."""
+    names = distinct.select("node", "rep")
+    linked = links.where("id <> other").join(names.withColumnsRenamed({"node": "id", "rep": "a"}), "id")
+    linked = linked.join(names.withColumnsRenamed({"node": "other", "rep": "b"}), "other").select("a", "b")
+    both = F.struct("key", "key2")
+    several = rows.groupBy("id").agg(F.min(both).alias("low"), F.max(both).alias("high")).where("low <> high")
+    shared = rows.select("id", "key", "key2").join(several.select("id"), "id", "left_semi").distinct()
+    again = shared.join(distinct.select("key", "key2", "rep"), ["key", "key2"])
+    return linked.unionByName(again.select(F.col("id").alias("a"), F.col("rep").alias("b")))
