@@ -603,6 +603,8 @@ SELECT *, (SELECT len(embedding) + 1 FROM embeddings LIMIT 1) AS coefficients, 0
 FROM ({_trained('model_b', EMBEDDING_MODEL)})""",
     "score_model_b": f"""WITH RECURSIVE {_embedding_model(False)}
 SELECT "Id", target, round(score, 4) AS score FROM scored""",
+    "registry_roundtrip": f"""WITH RECURSIVE {_embedding_model(False)}
+SELECT "Id", 2 AS version, round(score, 4) AS score, (round(score, 4) >= 0.5)::INT AS prediction FROM scored""",
     "model_report": f"""WITH RECURSIVE {_embedding_model(True)}, {_embedding_model(True, '(x * x)::DOUBLE', '_2')},
 reports AS ({_trained('model_a', EMBEDDING_MODEL)}
   UNION ALL {_trained('model_b', EMBEDDING_MODEL, 'scored_2')})

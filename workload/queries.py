@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from textrisk.operators.models import (
     keyword_detector,
 )
 from textrisk.operators.ordering import exact_percentiles, with_row_index
-from textrisk.plans import evaluate, freeze, train
+from textrisk.plans import evaluate, freeze, registry, train
 from textrisk.plans.scan import compare_detectors, scan, scan_batch, score_components
 from textrisk.sources.scratch import materialized, scratch_path
 from textrisk.sources.tables import (
@@ -611,6 +613,19 @@ def score_model_b(spark, sf_dir):
     return scored.select("Id", "target", F.round("score", 4).alias("score"))
 
 
+def registry_roundtrip(spark, sf_dir):
+    """Two versions of a model are published; the current one is loaded and scores every vector."""
+    path = scratch_path(spark, "registry")
+    detector = EmbeddingDetector.fit(_vectors(spark, sf_dir), tolerance=CLOSER)
+    registry.publish_detector(spark, path, replace(detector, threshold=0.9))
+    registry.publish_detector(spark, path, detector, {"threshold": detector.threshold})
+    loaded = registry.current_detector(spark, path)
+    scored = loaded.score(_vectors(spark, sf_dir), "text", "score")
+    predicted = risk.over_threshold(F.round("score", 4), loaded.threshold).alias("prediction")
+    number = F.lit(registry.published(spark, path)[0])
+    return scored.select("Id", number.alias("version"), F.round("score", 4).alias("score"), predicted)
+
+
 def _linear_model():
     """A fixed linear model, built in the worker that runs it."""
     import numpy as np
@@ -690,6 +705,7 @@ QUERIES = {
     "scoring_paths": scoring_paths,
     "train_model_b": train_model_b,
     "score_model_b": score_model_b,
+    "registry_roundtrip": registry_roundtrip,
     "model_report": model_report,
     "predict_batch": predict_batch,
 }
