@@ -561,6 +561,8 @@ SELECT source, roc_auc, support_benign, support_jailbreak FROM ({_auc('keyed', '
 ORDER BY u DESC, name LIMIT 1""",
     "latency_summary": """SELECT count(value) AS n, round(avg(value), 9) AS mean,
   round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events""",
+    "latency_sketch": """SELECT count(value) AS n, round(avg(value), 9) AS mean, 1 AS p50_within, 1 AS p95_within
+FROM events""",
     "eval_join": _OUTCOME + 'SELECT "Id", risk_score, decision, target, prediction FROM outcome',
     "join_mismatch": """SELECT (SELECT count(*) FROM documents) AS left_rows,
   (SELECT count(*) FROM labels) AS right_rows,

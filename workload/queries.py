@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textrisk.functions import labels, normalize, risk, rules
 from textrisk.functions.risk import RiskConfig
-from textrisk.operators import checks, joins, metrics, multiset, profile
+from textrisk.operators import checks, joins, metrics, multiset, profile, sketches
 from textrisk.operators import split as splits
 from textrisk.operators.features import (
     CHAR_BLOCK,
@@ -437,6 +437,23 @@ def latency_summary(spark, sf_dir):
 # ---- evaluation ---------------------------------------------------------------------------
 
 
+def latency_sketch(spark, sf_dir):
+    """Percentiles from sketches of a hundred batches, and whether they are within the sketch's error."""
+    events = table(spark, sf_dir, "events").select(F.col("value").cast("double").alias("value"), (F.col("event_id") % 100).alias("batch"))
+    parts = materialized(sketches.quantile_sketches(events, "value", ["batch"]), "sketches")
+    fractions = {"p50": 0.5, "p95": 0.95}
+    found = materialized(sketches.sketch_percentiles(sketches.merged_sketches(parts), list(fractions.values())), "percentiles")
+    places = events.select("value", *(found.select(n).scalar().alias(n) for n in fractions)).agg(
+        *(F.avg((F.col("value") < F.col(n)).cast("double")).alias(f"{n}_low") for n in fractions),
+        *(F.avg((F.col("value") <= F.col(n)).cast("double")).alias(f"{n}_high") for n in fractions),
+    )
+    bound = sketches.RANK_ERROR
+    inside = [
+        ((F.col(f"{n}_low") <= q + bound) & (F.col(f"{n}_high") >= q - bound)).cast("int").alias(f"{n}_within") for n, q in fractions.items()
+    ]
+    return places.select(found.select("n").scalar().alias("n"), r9(found.select("mean").scalar()).alias("mean"), *inside)
+
+
 def _truth(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"))
     marks = table(spark, sf_dir, "labels")
@@ -688,6 +705,7 @@ QUERIES = {
     "best_threshold": best_threshold,
     "select_primary": select_primary,
     "latency_summary": latency_summary,
+    "latency_sketch": latency_sketch,
     "eval_join": eval_join,
     "join_mismatch": join_mismatch,
     "eval_full": eval_full,
