@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -29,6 +29,7 @@ from textrisk.sources.tables import read_document, write_document
 TFIDF_MODEL = "word_char_tfidf_logistic_regression"
 EMBEDDING_MODEL = "frozen_multilingual_embeddings_logistic_regression"
 TFIDF_C, EMBEDDING_C, MAX_ITERATIONS, TOLERANCE = 2.0, 1.0, 2000, 1e-4
+MAX_TOKENS = 256  # of a text that a model reads
 _BLOCKS = {spec.name: spec for spec in (WORD_BLOCK, CHAR_BLOCK)}
 
 
@@ -90,6 +91,50 @@ class BatchDetector:
         return df.withColumn(out_col, predict(self.input_col))
 
 
+@dataclass(frozen=True)
+class TextBatchDetector:
+    """Batched inference on texts with a caller's tokenizer and model.
+
+    ``make_model`` runs once per batch stream of a Python worker and returns two functions: one
+    from a text to its token ids, and one from padded ids and their mask (rows by tokens) to one
+    probability per row. Each text is cut to ``max_tokens``. Texts of about equal length share a
+    batch, so a long text does not pad short ones, and results go back to the rows they belong to.
+    A null text is the empty text.
+    """
+
+    model_name: str
+    make_model: Callable[[], tuple[Callable[[str], Sequence[int]], Callable[[np.ndarray, np.ndarray], np.ndarray]]]
+    max_tokens: int = MAX_TOKENS
+    batch_size: int = 16
+
+    def predict(self, texts: Sequence[str], tokenize, model) -> np.ndarray:
+        """The probabilities of some texts, in their order."""
+        ids = [list(tokenize(text or ""))[: self.max_tokens] for text in texts]
+        order = sorted(range(len(ids)), key=lambda i: len(ids[i]))
+        out = np.zeros(len(ids))
+        for start in range(0, len(order), self.batch_size):
+            rows = order[start : start + self.batch_size]
+            padded = np.zeros((len(rows), max(1, len(ids[rows[-1]]))), np.int64)
+            mask = np.zeros(padded.shape, np.int64)
+            for row, i in enumerate(rows):
+                padded[row, : len(ids[i])] = ids[i]
+                mask[row, : len(ids[i])] = 1
+            out[rows] = np.asarray(model(padded, mask), float)
+        return out
+
+    def score(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        predict, make_model = self.predict, self.make_model
+
+        @F.arrow_udf(DoubleType())
+        def probabilities_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            tokenize, model = make_model()
+            for texts in batches:
+                yield pa.array(predict(texts.to_pylist(), tokenize, model), pa.float64())
+
+        made = probabilities_of(F.col(text_col).cast("string"))
+        return computed_once(df.select(*df.columns, made.alias(out_col)), [out_col])
+
+
 def _fit_balanced(
     features: DataFrame, target: str, strength: float, intercept: bool, tolerance: float
 ) -> LogisticRegressionModel:

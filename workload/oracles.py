@@ -593,6 +593,10 @@ SELECT a."Id", a.ml_score AS ml_score_a, a.risk_score AS risk_score_a, a.decisio
 SELECT d.doc_id AS "Id", CAST(coalesce(w.n, 0) + coalesce(c.n, 0) + 1 AS INT) AS terms,
   CAST((SELECT count(*) FROM word_kept) + (SELECT count(*) FROM chars_kept) + 1 AS INT) AS dimensions
 FROM documents d LEFT JOIN word_found w ON w.doc_id = d.doc_id LEFT JOIN chars_found c ON c.doc_id = d.doc_id""",
+    "predict_text": """SELECT doc_id, round(1 / (1 + exp(5 - coalesce(list_avg(list_transform(words, lambda w: length(w))), 0))), 9)
+  AS probability
+FROM (SELECT doc_id, list_slice(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), 1, 256) AS words
+  FROM documents)""",
     "train_model_a": f"""WITH RECURSIVE {_tfidf_model(True)}
 SELECT *, (SELECT count(*) + (SELECT count(*) FROM kept_c) + 1 FROM kept_w) AS coefficients, 0.0::DOUBLE AS largest_gradient
 FROM ({_trained('model_a', TFIDF_MODEL)})""",

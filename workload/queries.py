@@ -24,6 +24,7 @@ from textrisk.operators.fingerprint import fingerprint
 from textrisk.operators.models import (
     BatchDetector,
     EmbeddingDetector,
+    TextBatchDetector,
     TfidfDetector,
     feature_union,
     keyword_detector,
@@ -654,6 +655,28 @@ def _linear_model():
     return predict
 
 
+def _word_lengths():
+    """A fixed model of texts: the ids are the lengths of words, the margin their mean."""
+    import numpy as np
+
+    def tokenize(text: str) -> list[int]:
+        return [len(word) for word in text.split(" ") if word]
+
+    def predict(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        mean = (ids * mask).sum(axis=1) / np.maximum(1, mask.sum(axis=1))
+        return 1.0 / (1.0 + np.exp(5.0 - mean))
+
+    return tokenize, predict
+
+
+def predict_text(spark, sf_dir):
+    """Batched inference on whole documents, of which the model reads the first 256 words."""
+    documents = read_parquet(spark, f"{sf_dir}/documents.parquet", partitions(spark))
+    detector = TextBatchDetector("word_lengths", _word_lengths)
+    scored = detector.score(documents.select("doc_id", "text"), "text", "probability")
+    return scored.select("doc_id", r9("probability").alias("probability"))
+
+
 def predict_batch(spark, sf_dir):
     detector = BatchDetector("linear", _linear_model, "embedding", (64,), batch_size=256)
     scored = detector.score(table(spark, sf_dir, "embeddings"), "text", "probability")
@@ -726,4 +749,5 @@ QUERIES = {
     "registry_roundtrip": registry_roundtrip,
     "model_report": model_report,
     "predict_batch": predict_batch,
+    "predict_text": predict_text,
 }
