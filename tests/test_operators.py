@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -171,6 +173,40 @@ def test_split_shares_are_exact_and_stable(spark, tmp_path):
         splits.make_or_load_split(df.withColumn("Id", F.concat(F.lit("x"), "Id")), path)
 
 
+def test_split_finds_its_cuts_apart_from_marking(spark):
+    rng = random.Random(5)
+    ids = [f"r{rng.randrange(400)}" for _ in range(900)] + [None, None, ""]
+    rows = [(i, int((i or "0").endswith(("1", "2", "3")))) for i in ids]
+    df = spark.createDataFrame(rows, "Id string, target int").repartition(5)
+    for share in (0.0, 0.001, 0.2, 0.5, 1.0):
+        cuts = splits.cutoffs(df, validation_size=share, seed=9)
+        marked = [tuple(r) for r in splits.mark_partition(df, cuts, seed=9).collect()]
+        for value in (0, 1):
+            of_id = Counter(i or "" for i, target in rows if target == value)
+            order = sorted(of_id, key=lambda i: (hashlib.md5(f"9:{i}".encode()).hexdigest(), i))
+            left, chosen = round(share * sum(of_id.values())), set()
+            for i in order:
+                if of_id[i] > left:
+                    break
+                left -= of_id[i]
+                chosen.add(i)
+            got = {(i or "", p) for i, target, p in marked if target == value}
+            assert got == {(i, "validation" if i in chosen else "train") for i in of_id}, share
+    later = splits.mark_partition(spark.createDataFrame([("r7", 1)], "Id string, target int"), cuts, seed=9)
+    assert later.first()["partition"] == "validation"
+    assert splits.cutoffs(df.limit(0)) == {}
+    assert splits.with_partition(df.limit(0)).isEmpty()
+
+
+def test_split_is_a_narrow_plan_over_one_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).selectExpr("cast(id as string) Id", "id % 2 target", "'t' text").write.parquet(path)
+    plan = splits.with_partition(spark.read.parquet(path))._jdf.queryExecution().toString()
+    physical = plan.split("== Physical Plan ==")[1]
+    assert physical.count("FileScan") == 1
+    assert "Exchange" not in physical and "Join" not in physical
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,)], "target int")
     weights = {r["target"]: r["weight"] for r in splits.class_weights(df).collect()}
