@@ -4,6 +4,7 @@ import gzip
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -12,13 +13,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_text_operators import check_packing
 from textrisk.llm import jaccard_join, line_dedup, quality, toxicity, vector_dedup, warc
 from textrisk.llm.components import connected_components
 from textrisk.llm.queries import ORACLES, QUERIES
-from textrisk.llm.training import fold
+from textrisk.llm.training import fold, training_rows
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -363,6 +365,98 @@ def test_labels_of_one_kind_or_none(documents, spark, make):
     assert empty.select(make(empty, table, fold("doc_id", 4) != 99)).count() == 0
 
 
+def test_quality_does_not_depend_on_the_layout(documents, spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(60))) for _ in range(150)]
+    labels = [int(len(t) % 3 > 0) for t in texts]
+    docs, table = labelled(documents, spark, [*texts, texts[0], None, ""], labels, "quality")
+    allowed = fold("doc_id", 5) != 0
+    found = [
+        scores(d, quality.quality_score(d, t, allowed))
+        for d, t in (
+            (docs.coalesce(1), table.coalesce(1)),
+            (docs.repartition(7, F.xxhash64("text")), table.repartition(5)),
+            (docs.orderBy(F.desc("doc_id")), table.orderBy(F.desc("doc_id"))),
+        )
+    ]
+    assert found[0] == found[1] == found[2]
+    assert len(set(found[0].values())) > 100
+
+
+def test_quality_features_equal_naive_ones(documents):
+    texts = ["the cat sat on the mat .", "THE the cat", "", None, "a", "cat cat cat 12", "x|y " * 40]
+    found = quality.word_vectors(documents(list(enumerate(texts))).repartition(3))
+    places, signs = quality.index_vectors()
+    own = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for bucket in range(quality.BUCKETS):
+        for place, sign in zip(places[bucket], signs[bucket]):
+            own[bucket, place] += sign
+    around = np.zeros_like(own)
+    tokens = [quality.token_buckets([t or ""])[0].tolist() for t in texts]
+    for line in tokens:
+        for i, here in enumerate(line):
+            for j, there in enumerate(line):
+                if 0 < abs(i - j) <= quality.CONTEXT:
+                    around[here] += own[there]
+    table = around / np.maximum(np.sqrt((around**2).sum(axis=1, keepdims=True)), 1e-6) + own
+    assert np.allclose(found, table, atol=1e-5)
+    for line, got in zip(tokens, quality.document_features([t or "" for t in texts], found)):
+        size = len(line)
+        naive = [0.0] * (quality.DIMENSIONS + 3)
+        if size:
+            naive[:-3] = sum(table[b] for b in line) / size
+            naive[-3:] = math.log1p(size) / 10, max(map(line.count, line)) / size, len(set(line)) / size
+        assert np.allclose(got, naive, atol=1e-5)
+
+
+def test_sums_travel_exactly():
+    sums = np.zeros(quality.CHUNK * quality.DIMENSIONS)
+    for largest, size in ((2**24 + 1, 4), (-(2**31) + 1, 4), (2**31, 8), (2**52 + 1, 8)):
+        sums[:3] = largest, -1, 7
+        sent = quality.packed(sums)
+        assert len(sent) == size * len(sums) and (quality.unpacked(sent) == sums).all()
+
+
+def test_training_rows_are_bounded_by_ids(documents, spark):
+    docs = documents([(i % 4, f"text {i}") for i in range(400)] + [(9, None)])
+    labels = spark.createDataFrame(
+        [(i % 4, i % 2) for i in range(40)] + [(9, 1), (None, 1), (3, None)], "doc_id bigint, y int"
+    )
+    rows, sizes = training_rows(docs, labels, "y", F.lit(True), 2, "doc_id", "text")
+    assert sizes == {0: 20, 1: 21}
+    assert rows.count() == 4 and rows.where("label = 0").count() == 2
+    rows, _ = training_rows(docs, labels, "y", F.lit(True), 9, "doc_id", "text")
+    assert sorted(map(tuple, rows.collect())) == [("", 1), ("text 0", 0), ("text 1", 1), ("text 10", 0), ("text 103", 1)]
+
+
+def test_toxicity_scores_equal_naive_ones():
+    random_numbers = np.random.Generator(np.random.PCG64(3))
+    model = toxicity.ToxicityModel(0.3)
+    model.margins = random_numbers.normal(0, 2, toxicity.BUCKETS).astype(np.float32)
+    model.bias, model.curve = -0.7, np.array([1.3, 0.8, 0.2])
+    texts = ["The cat, the CAT; sat", "", " -- ", "a", "ab abc abcd abcde", "word " * 50]
+
+    def probability(x):
+        return 1 / (1 + math.exp(-x))
+
+    for text, got in zip(texts, model.scores(texts)):
+        margins = []
+        for word in re.findall(r"\w+", text.lower()):
+            marked = f"<{word}>"
+            grams = [marked] + [
+                marked[i : i + n]
+                for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1)
+                if n < len(marked)
+                for i in range(len(marked) - n + 1)
+            ]
+            buckets = [zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams]
+            margins.append(sum(float(model.margins[b]) for b in buckets) / len(buckets) + model.bias)
+        worst = max(margins, default=model.bias)
+        share = sum(map(probability, margins)) / len(margins) if margins else probability(model.bias)
+        naive = probability(1.3 * min(worst, toxicity.CERTAIN) + 0.8 * math.log(share) + 0.2)
+        assert math.isclose(got, naive, rel_tol=1e-9), text
+
+
 def test_text_buckets_do_not_depend_on_the_batch():
     texts = ["the cat ### sat", "", "THE the the 12", "x" * 3000]
     together, sizes = quality.token_buckets(texts)

@@ -29,6 +29,7 @@ CONTEXT = 2  # tokens to either side
 CHUNK = 128  # rows of the table that travel together
 TRAINING_ROWS_PER_CLASS = 6_000
 HIDDEN = 32
+EPOCHS, LEAST_STEPS = 60, 1_000  # few rows are seen more often
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+").findall
 _SAME = "\x00same"  # in place of a word that repeats the one before it
 
@@ -84,11 +85,21 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 # ---- word vectors -------------------------------------------------------------------------
 
 
+def packed(sums: np.ndarray) -> bytes:
+    """Whole numbers in four bytes each where they fit, else in eight."""
+    return sums.astype("<i4" if np.abs(sums).max() < 2**31 else "<i8").tobytes()
+
+
+def unpacked(sums: bytes) -> np.ndarray:
+    return np.frombuffer(sums, "<i4" if len(sums) == 4 * CHUNK * DIMENSIONS else "<i8").astype(np.float64)
+
+
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The table of word vectors, from every text of ``docs``.
 
     Each task sums up a table of its own; tables are added up by chunks of rows. The driver gets
-    one table, of a fixed size.
+    one table, of a fixed size. Sums are whole numbers, exact up to 2^53, so the table does not
+    depend on how the texts are dealt to tasks.
     """
     schema = T._parse_datatype_string("chunk int, sums binary")
 
@@ -105,32 +116,30 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     for k in range(NONZERO):
                         flat = here * DIMENSIONS + places[there, k]
                         sums += np.bincount(flat, weights=signs[there, k], minlength=len(sums))
-        table = sums.astype(np.float32).reshape(-1, CHUNK * DIMENSIONS)
+        table = sums.reshape(-1, CHUNK * DIMENSIONS)
         kept = np.flatnonzero(table.any(axis=1))
         if len(kept):
-            yield as_batch([kept, [table[i].tobytes() for i in kept]], arrow)
+            yield as_batch([kept, [packed(table[i]) for i in kept]], arrow)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, totals = to_arrow_schema(schema), {}
         for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.frombuffer(packed, np.float32)
-                totals[chunk] = totals[chunk] + found if chunk in totals else found.astype(np.float64)
+            for chunk, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals[chunk] = totals.get(chunk, 0.0) + unpacked(sums)
         if totals:
-            rows = [v.astype(np.float32).tobytes() for v in totals.values()]
-            yield as_batch([list(totals), rows], arrow)
+            yield as_batch([list(totals), [packed(v) for v in totals.values()]], arrow)
 
     small_batches(docs.sparkSession)
     sums = docs.select(text_col).mapInArrow(gather, schema).repartition("chunk").mapInArrow(add_up, schema)
-    table = np.zeros((BUCKETS // CHUNK, CHUNK * DIMENSIONS), np.float32)
+    table = np.zeros((BUCKETS // CHUNK, CHUNK * DIMENSIONS))
     for row in sums.toLocalIterator():
-        table[row["chunk"]] = np.frombuffer(row["sums"], np.float32)
+        table[row["chunk"]] = unpacked(row["sums"])
     table = table.reshape(BUCKETS, DIMENSIONS)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
     places, signs = index_vectors()
     for k in range(NONZERO):
         table[np.arange(BUCKETS), places[:, k]] += signs[:, k]
-    return table
+    return table.astype(np.float32)
 
 
 def document_features(texts: list[str], table: np.ndarray) -> np.ndarray:
@@ -163,12 +172,14 @@ class QualityNetwork:
         if self.layers is None:
             return np.full(len(features), self.prior)
         a, b, c, d = self.layers
-        return np.tanh((features - self.shift) / self.scale @ a + b) @ c + d
+        # Sums of a row in one order whatever the batch, which matrix products do not promise.
+        hidden = np.tanh(np.einsum("ij,jk->ik", (features - self.shift) / self.scale, a) + b)
+        return np.einsum("ij,j->i", hidden, c) + d
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return logistic(self.logits(features) / self.temperature)
 
-    def fit(self, features: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = 60) -> None:
+    def fit(self, features: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """A fifth of the rows is set aside for the temperature."""
         random = np.random.Generator(np.random.PCG64(7))
         order = random.permutation(len(labels))
@@ -182,7 +193,8 @@ class QualityNetwork:
         ]
         a, b, c, d = self.layers
         adam = Adam(self.layers, 0.005)
-        for _ in range(epochs):
+        steps = -(-len(used) // 256)
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // steps))):
             random.shuffle(used)
             for at in range(0, len(used), 256):
                 part = used[at : at + 256]
@@ -212,7 +224,8 @@ def train(
     def features(column: pa.Array) -> pa.Array:
         return pa.array([f.tobytes() for f in document_features(texts_of(column), table)], pa.binary())
 
-    found = rows.select(features("text").alias("features"), "label").collect()
+    # Rows are set aside by their place, so it must not depend on the order in which they arrive.
+    found = sorted(rows.select(features("text").alias("features"), "label").collect())
     y = np.array([row["label"] for row in found], np.float64)
     if 0 < y.sum() < len(y):
         x = np.stack([np.frombuffer(row["features"], np.float32) for row in found]).astype(np.float64)

@@ -16,22 +16,24 @@ def fold(id_col: Column | str, folds: int) -> Column:
 def training_rows(
     docs: DataFrame, labels: DataFrame, label_col: str, kept: Column, per_class: int, id_col: str, text_col: str
 ) -> tuple[DataFrame, dict[int, int]]:
-    """``text, label`` of at most ``per_class`` rows of either label, and how many rows of each
+    """``text, label`` of at most ``per_class`` ids of either label, and how many rows of each
     label there are.
 
-    ``kept`` says which rows of ``labels`` may be learnt from. Rows are taken in the order of a
-    hash of their id; the chosen ids, two times ``per_class`` at most, are broadcast.
+    ``kept`` says which rows of ``labels`` may be learnt from. Ids are taken in the order of their
+    hash; the chosen ones, two times ``per_class`` at most, are broadcast. An id gives one row a
+    label, however often either table repeats it: of several texts the smallest.
     """
     usable = labels.where(kept & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     sizes = {row[label_col]: row["count"] for row in usable.groupBy(label_col).count().collect()}
     order = F.xxhash64(id_col)
     parts = [
-        usable.where(F.col(label_col) == label).orderBy(order, id_col).limit(per_class).select(id_col, label_col)
+        usable.where(F.col(label_col) == label).select(id_col, label_col).distinct().orderBy(order, id_col).limit(per_class)
         for label in (0, 1)
     ]
     chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("text", "label"), sizes
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    return found.select("text", "label"), sizes
 
 
 class Adam:
