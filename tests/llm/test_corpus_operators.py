@@ -239,6 +239,19 @@ def test_lines_equal_brute_force(documents, broadcast_lines):
     assert got == sorted(lines_by_brute_force(rows, line_dedup.MIN_SITES), key=str)
 
 
+@pytest.mark.parametrize("broadcast_lines", [0, 1000])
+def test_lines_leave_columns_of_any_name_alone(documents, broadcast_lines):
+    rows = [(i, f"shared line\nown {i}", f"s{i}") for i in range(6)] + [(9, None, "s1")]
+    docs = documents(rows).selectExpr(
+        "*", "'q' AS __llm_stays", "'r' AS __llm_text", "'s' AS __LLM_DROP", "'t' AS __llm_text_"
+    )
+    found = line_dedup.remove_boilerplate(docs, broadcast_lines=broadcast_lines)
+    assert found.columns == docs.columns
+    rest = [c for c in docs.columns if c != "text"]
+    assert sorted(found.select(rest).collect()) == sorted(docs.select(rest).collect())
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {i: f"own {i}" for i in range(6)} | {9: None}
+
+
 def test_lines_of_an_empty_table(documents):
     assert line_dedup.remove_boilerplate(documents([])).count() == 0
 
@@ -536,3 +549,11 @@ def test_pipeline_of_odd_documents(documents, spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame((df := stage(spark, docs, sf_dir)).collect(), df.schema)
     assert {r["doc_id"] for r in docs.collect()} <= {1, 2, 3, None}
+
+
+def test_stages_without_a_model_keep_odd_documents(documents, spark, sf_dir):
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "same words here now please"), (4, "same words here now please")]
+    docs, stages = documents(rows), dict(corpus_pipeline.STAGES)
+    for name, ids in (("line_dedup", [1, 2, 3, 4, None]), ("near_duplicates", [1, 2, 3, None]), ("packing", [1, 2, 3, 4, None])):
+        found = stages[name](spark, docs, sf_dir).select("doc_id").distinct().collect()
+        assert sorted((r["doc_id"] for r in found), key=lambda i: i or 99) == ids, name

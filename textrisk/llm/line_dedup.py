@@ -27,6 +27,14 @@ SALTS = 8
 BROADCAST_LINES = 200_000  # 8 bytes each
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``docs``."""
+    taken = {column.lower() for column in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -111,26 +119,28 @@ def _without_listed(docs: DataFrame, text_col: str, lines: np.ndarray) -> DataFr
 
     lines_of = _lines(F.col(text_col))
     hashes = F.transform(lines_of, lambda line: F.when(F.trim(line) != "", line_hash(line)))
-    mask = F.col("__llm_stays")
+    stays_col = _unused(docs, "__llm_stays")
+    mask = F.col(stays_col)
     kept = F.filter(lines_of, lambda line, i: F.get(mask, i))
     cleaned = F.when(F.forall(mask, lambda stay: stay), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.withColumn("__llm_stays", stays(hashes)).withColumn(text_col, cleaned).select(*docs.columns)
+    return docs.withColumn(stays_col, stays(hashes)).withColumn(text_col, cleaned).select(*docs.columns)
 
 
 def _without_joined(docs: DataFrame, text_col: str, found: DataFrame, lines: DataFrame) -> DataFrame:
+    text_key, drop_col = _unused(docs, "__llm_text"), _unused(docs, "__llm_drop")
     drops = (
         found.join(lines, "line", "left_semi")
-        .groupBy(F.col("text").alias("__llm_text"))
-        .agg(F.collect_set("line").alias("__llm_drop"))
+        .groupBy(F.col("text").alias(text_key))
+        .agg(F.collect_set("line").alias(drop_col))
     )
     drops = stored(drops, "drops")
     release(found)
-    drop = F.col("__llm_drop")
+    drop = F.col(drop_col)
     kept = F.filter(_lines(F.col(text_col)), lambda line: (F.trim(line) == "") | ~F.array_contains(drop, line_hash(line)))
     cleaned = F.when(drop.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return (
-        docs.withColumn("__llm_text", F.xxhash64(text_col))
-        .join(drops.hint("merge"), "__llm_text", "left")
+        docs.withColumn(text_key, F.xxhash64(text_col))
+        .join(drops.hint("merge"), text_key, "left")
         .withColumn(text_col, cleaned)
         .select(*docs.columns)
     )
