@@ -17,19 +17,18 @@ from textrisk.session import ship_package
 
 REJECTED_TOXICITY = 0.3  # toxicity scores from which on a document goes
 ACCEPTED_QUALITY = 0.3  # quality scores from which on a document stays
-# Ids of near duplicates that are broadcast, 8 bytes each; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not scored as toxic."""
+    """Documents that are not scored as toxic; null and empty texts have a score as well."""
     ship_package(spark)
     score = toxicity.toxicity_score(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     return docs.where(score < REJECTED_TOXICITY)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of acceptable quality; word vectors come from the documents given."""
+    """Documents of acceptable quality, null and empty texts scored like any other; word vectors
+    come from the documents given."""
     ship_package(spark)
     score = quality.quality_score(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     return docs.where(score >= ACCEPTED_QUALITY)
@@ -47,12 +46,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship_package(spark)
     found = jaccard_join.jaccard_components(docs)
     others = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    small = others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(others) if small else others, "doc_id", "left_anti").select(*docs.columns)
+    # A stored table, whose size the planner knows: it broadcasts the ids where they are few.
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1,024 tokens."""
+    """The pieces of all documents in sequences of 1,024 tokens; null texts count as empty, and
+    an empty one is its end mark."""
     ship_package(spark)
     return packing.pack(docs)
 
