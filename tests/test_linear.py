@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_models import DOCS, labeled, python_chars, python_words
 
-from textrisk.operators import counting, linear
+from textrisk.operators import counting, features, linear
 from textrisk.operators.certificate import optimality, sigmoid
 from textrisk.operators.features import CHAR_BLOCK, WORD_BLOCK, fit_blocks, term_statistics, vocabulary
 from textrisk.operators.models import EmbeddingDetector, TfidfDetector, feature_union
@@ -133,3 +133,10 @@ def test_relational_scores_equal_the_vectors(spark):
 def test_sigmoid_does_not_overflow(spark):
     rows = spark.createDataFrame([(-800.0,), (0.0,), (800.0,)], "x double")
     assert [r[0] for r in rows.select(sigmoid(F.col("x"))).collect()] == [0.0, 0.5, 1.0]
+
+
+def test_vectors_are_made_piece_by_piece(spark, texts, monkeypatch):
+    block = fit_blocks(texts(*DOCS), (WORD_BLOCK,))[0]
+    monkeypatch.setattr(counting, "PIECE_CHARS", 5)
+    made = list(features._vectors([block], True).func(iter([pa.array([*DOCS, None, ""])])))
+    assert len(made) > 1 and sum(len(part) for part in made) == len(DOCS) + 2
