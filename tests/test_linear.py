@@ -140,3 +140,10 @@ def test_vectors_are_made_piece_by_piece(spark, texts, monkeypatch):
     monkeypatch.setattr(counting, "PIECE_CHARS", 5)
     made = list(features._vectors([block], True).func(iter([pa.array([*DOCS, None, ""])])))
     assert len(made) > 1 and sum(len(part) for part in made) == len(DOCS) + 2
+
+
+def test_relational_scores_shuffle_no_terms(spark):
+    df = labeled(spark, 30)
+    plan = TfidfDetector.fit(df).relational_score(df, "text", "r")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1].split(", 4)")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and all(keys.split("#")[0] == "_row" and "," not in keys for keys in dealt)
