@@ -147,3 +147,17 @@ def test_relational_scores_shuffle_no_terms(spark):
     plan = TfidfDetector.fit(df).relational_score(df, "text", "r")._jdf.queryExecution().executedPlan().toString()
     dealt = [line.split("hashpartitioning(")[1].split(", 4)")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
     assert dealt and all(keys.split("#")[0] == "_row" and "," not in keys for keys in dealt)
+
+
+def test_the_solver_needs_few_passes(monkeypatch):
+    # Curvatures from 1 to 10,000: steps that look further back come to the optimum sooner.
+    curve, pull = np.logspace(0, 4, 60), np.random.default_rng(5).normal(size=60)
+    now, steps, passes = np.zeros(60), [], 0
+    gradient = -pull
+    while np.linalg.norm(gradient) > 1e-9 and passes < 400:
+        along = linear._direction(gradient, steps)
+        step = -(gradient @ along) / (along @ (curve * along)) * along
+        now, passes = now + step, passes + 1
+        steps = [*steps, (step, curve * step)][-linear._MEMORY :]
+        gradient = curve * now - pull
+    assert np.allclose(now, pull / curve) and linear._MEMORY >= 30
