@@ -161,3 +161,64 @@ def test_the_solver_needs_few_passes(monkeypatch):
         steps = [*steps, (step, curve * step)][-linear._MEMORY :]
         gradient = curve * now - pull
     assert np.allclose(now, pull / curve) and linear._MEMORY >= 30
+
+
+@given(TEXTS, st.lists(st.booleans(), min_size=8, max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_wanted_slots_drop_no_term_of_theirs(texts, chosen):
+    every = counting.count_words(texts)
+    hashes = counting.word_hashes(texts)
+    table = counting.slots_holding(hashes[np.resize(chosen, len(hashes))])
+    some = counting.count_words(texts, table)
+    whole, part = per_text(every, texts), per_text(some, texts)
+    kept = set(some.terms)
+    assert [Counter({t: n for t, n in counts.items() if t in kept}) for counts in whole] == part
+    known = counting.Weights.of(every.terms[::2], np.ones(len(every.terms[::2])))
+    assert set(every.terms[::2]) <= set(known.counts(counting.count_words, texts).terms) <= set(every.terms)
+    assert len(hashes) == every.times.sum()
+
+
+def test_words_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(counting, "_BASE", np.uint64(0))  # words of equal first letters collide
+    texts = ["ab ac abc ab", "ad ab", "É_1 éa"]
+    assert per_text(counting.count_words(texts), texts) == [Counter(python_words(t)) for t in texts]
+
+
+def test_slot_counts_add_up_in_every_width():
+    whole, parts = counting.SlotCounts(), counting.SlotCounts()
+    hashes = np.array([5, 5, 1 << 63, 7 << 20, 2**64 - 1], np.uint64)
+    for _ in range(3):
+        part = counting.SlotCounts()
+        part.add(hashes)
+        part.table[0, 9] = 1 << 17
+        part.table[1, 9] = 1 << 33
+        whole.table += part.table
+        for row in part.rows():
+            parts.add_row(*row)
+    assert np.array_equal(whole.table, parts.table) and parts.table[0, 5] == 6
+    assert len({len(counts) for _, counts in parts.rows()}) == 3
+
+
+def test_the_vocabulary_is_found_without_shuffling_rare_terms(spark, monkeypatch):
+    # 40 frequent words and their pairs among 4,000 that occur twice and 2,000 that one text repeats.
+    texts = [" ".join([*(f"often{j}" for j in range(i % 41)), f"rare{i % 4000}"]) for i in range(8000)]
+    texts += [" ".join([f"alone{i}"] * 60) for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, ""])), "Id int, text string").repartition(3)
+    counted = Counter(t for text in texts for t in python_words(text))
+    held = Counter(t for text in texts for t in set(python_words(text)))
+    made = []
+    monkeypatch.setattr(features, "materialized", lambda d, name: made.append(d.cache()) or made[-1])
+    # At a limit of 70 terms the repeated ones fill the slots that are looked at first and second.
+    for limit, passes in ((30, 1), (70, 3), (100_000, 1)):
+        made.clear()
+        spec = features.TermSpec("word", features.word_terms, counting.count_words, 2, 0.5, limit)
+        eligible = [t for t in counted if 2 <= held[t] <= 0.5 * (len(texts) + 2)]
+        want = sorted(eligible, key=lambda t: (-counted[t], t))[:limit]
+        got = {r["term"]: (r["corpus_freq"], r["doc_freq"]) for r in vocabulary(df, spec).collect()}
+        assert got == {t: (counted[t], held[t]) for t in want}
+        assert len(made) == passes
+        if limit == 30:
+            whole = term_statistics(df, [spec]).where("doc_freq >= 2").count()
+            assert made[0].count() < whole / 10
+        for table in made:
+            table.unpersist()
