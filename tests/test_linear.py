@@ -222,3 +222,74 @@ def test_the_vocabulary_is_found_without_shuffling_rare_terms(spark, monkeypatch
             assert made[0].count() < whole / 10
         for table in made:
             table.unpersist()
+
+
+def test_blocks_take_few_bytes_and_give_exact_sums():
+    rng = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(60)]
+    texts += ["", "often " * 700 + "seldom", "none of these", "word1 word1 word2999"]
+    terms = sorted({term for text in texts[:62] for term in python_words(text)})
+    grams = sorted({term for text in texts[:62] for term in python_chars(text)})
+    parts = [
+        (counting.count_words, counting.Weights.of(terms, 1 + np.arange(len(terms)) % 9 / 7)),
+        (counting.count_chars, counting.Weights.of(grams, 1 + np.arange(len(grams)) % 5 / 3)),
+    ]
+    offsets, index, value = counting.sparse_rows(texts, parts, constant=True)
+    size = len(terms) + len(grams) + 1
+    at, target, weight = rng.normal(size=size), rng.integers(0, 2, len(texts)), rng.uniform(1, 2, len(texts))
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    margin = np.bincount(owner, value * at[index], len(texts))
+    error = weight * (1 / (1 + np.exp(-margin)) - target)
+    columns = *linear._packed_rows(texts, parts, True), target.astype(float), weight
+    block = dict(zip(linear._NAMES, map(bytes, columns)))
+    # An index and a value would be twelve bytes an entry.
+    assert sum(map(len, block.values())) < 4 * len(index)
+    gradient = np.ones(size)
+    loss = linear._loss_and_gradient(at, block, gradient)
+    assert np.isclose(loss, weight @ (np.logaddexp(0, margin) - target * margin), rtol=1e-12)
+    assert np.allclose(gradient - 1, np.bincount(index, value * error[owner], size), rtol=1e-11, atol=1e-12)
+
+
+@given(st.lists(st.integers(-(2**40), 2**40) | st.integers(-3, 260)))
+def test_packed_numbers_come_back(numbers):
+    assert counting.unpacked(*counting.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_large_rows_are_written_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 60, numPartitions=1).select(F.repeat(F.sha2(F.col("id").cast("string"), 256), 8192).cast("binary").alias("b"))
+    stored = linear.materialized(rows, "large-rows", {**linear._STORED, "compression": "none"})
+    (path,) = (f for f in stored.inputFiles() if f.endswith(".parquet"))
+    groups = pq.ParquetFile(path.removeprefix("file://")).metadata
+    # 30 MB of 0.5 MB rows: a writer that waits for 100 rows holds all of them.
+    assert groups.num_rows == 60 and groups.num_row_groups >= 3
+
+
+def test_workers_get_small_batches_inside_only(spark):
+    from textrisk.session import small_batches
+
+    def largest():
+        sizes = spark.range(0, 40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("t")).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long"
+        )
+        return max(r["n"] for r in sizes.collect())
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with pytest.raises(ValueError), small_batches(spark):
+        assert largest() < 16 << 20
+        raise ValueError
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert largest() > 32 << 20
+
+
+def test_a_tally_adds_up_pieces():
+    tally = counting.Tally()
+    texts = ["ab cd ab", "cd ef", "gh"]
+    for text in texts:
+        tally.add(counting.count_words([text, text]))
+    terms, total, held = tally.taken()
+    assert dict(zip(terms, zip(total.tolist(), held.tolist())))["cd"] == (4, 4)
+    assert dict(zip(terms, total.tolist())) == Counter(t for text in texts * 2 for t in python_words(text))
+    assert [len(part) for part in tally.taken()] == [0, 0, 0]
