@@ -293,3 +293,14 @@ def test_a_tally_adds_up_pieces():
     assert dict(zip(terms, zip(total.tolist(), held.tolist())))["cd"] == (4, 4)
     assert dict(zip(terms, total.tolist())) == Counter(t for text in texts * 2 for t in python_words(text))
     assert [len(part) for part in tally.taken()] == [0, 0, 0]
+
+
+def test_the_certificate_counts_texts_once(spark):
+    df = labeled(spark, 60)
+    detector = TfidfDetector.fit(df)
+    both = feature_union(detector.score(df, "text", "alone"), detector.blocks, score=("score", detector.coefficients))
+    assert all(abs(r["alone"] - r["score"]) < 1e-12 for r in both.select("alone", "score").collect())
+    one = feature_union(df, detector.blocks, score=("score", detector.coefficients)).select("score", "features")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert one.select("features").collect() == feature_union(df, detector.blocks).select("features").collect()
