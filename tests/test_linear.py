@@ -276,12 +276,18 @@ def test_workers_get_small_batches_inside_only(spark):
         )
         return max(r["n"] for r in sizes.collect())
 
-    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    with pytest.raises(ValueError), small_batches(spark):
-        assert largest() < 16 << 20
-        raise ValueError
-    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
-    assert largest() > 32 << 20
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given in (before, "60m"):
+            spark.conf.set(name, given)
+            with pytest.raises(ValueError), small_batches(spark):
+                assert largest() < 16 << 20
+                raise ValueError
+            assert spark.conf.get(name) == given
+            assert largest() > 32 << 20
+    finally:
+        spark.conf.set(name, before)
 
 
 def test_a_tally_adds_up_pieces():
